@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import ship_package, table
+from .quality_rules import SQL as _rules_sql
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import apply_quality_rules
+
+    return apply_quality_rules(table(spark, sf_dir, "documents")).drop("host", "host_rate")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +26,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {"op8_mixing": op8_mixing, "op10_sharding": op10_sharding}
-SQL: dict[str, str] = {}
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op8_mixing": op8_mixing, "op10_sharding": op10_sharding}
+SQL: dict[str, str] = {"op2_quality_rules": _rules_sql}
