@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import ship_package, table
 from .quality_rules import SQL as _rules_sql
@@ -14,6 +16,39 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_quality_rules(table(spark, sf_dir, "documents")).drop("host", "host_rate")
 
 
+def op5_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_index import read_documents, stored_keys, write_corpus
+
+    ship_package(spark)
+    folder = write_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    read = read_documents(spark, folder, stored_keys(spark, folder))
+    return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    ship_package(spark)
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def bpe_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    from .bpe import bpe_encode_decode
+
+    ship_package(spark)
+    out = bpe_encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -26,5 +61,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op8_mixing": op8_mixing, "op10_sharding": op10_sharding}
+QUERIES = {"op9_bpe": op9_bpe, "op7_token_counts": op7_token_counts, "op5_token_index": op5_token_index, "op2_quality_rules": op2_quality_rules, "op8_mixing": op8_mixing, "op10_sharding": op10_sharding}
 SQL: dict[str, str] = {"op2_quality_rules": _rules_sql}
