@@ -7,9 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship_package, table
+from .exact_topk import SQL as _topk_sql
 from .quality_rules import SQL as _rules_sql
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_topk import top_k
+
+    ship_package(spark)
+    return top_k(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(100)) == 0, k=10)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify
+
+    ship_package(spark)
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import apply_quality_rules
 
@@ -61,5 +76,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {"op9_bpe": op9_bpe, "op7_token_counts": op7_token_counts, "op5_token_index": op5_token_index, "op2_quality_rules": op2_quality_rules, "op8_mixing": op8_mixing, "op10_sharding": op10_sharding}
-SQL: dict[str, str] = {"op2_quality_rules": _rules_sql}
+QUERIES = {"op1_exact_topk": op1_exact_topk, "op4_quality_classifier": op4_quality_classifier, "op9_bpe": op9_bpe, "op7_token_counts": op7_token_counts, "op5_token_index": op5_token_index, "op2_quality_rules": op2_quality_rules, "op8_mixing": op8_mixing, "op10_sharding": op10_sharding}
+SQL: dict[str, str] = {"op1_exact_topk": _topk_sql, "op2_quality_rules": _rules_sql}
