@@ -18,6 +18,13 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(100)) == 0, k=10)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree import score_documents
+
+    ship_package(spark)
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import classify
 
@@ -76,5 +83,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {"op1_exact_topk": op1_exact_topk, "op4_quality_classifier": op4_quality_classifier, "op9_bpe": op9_bpe, "op7_token_counts": op7_token_counts, "op5_token_index": op5_token_index, "op2_quality_rules": op2_quality_rules, "op8_mixing": op8_mixing, "op10_sharding": op10_sharding}
+QUERIES = {"op3_lm_scoring": op3_lm_scoring, "op1_exact_topk": op1_exact_topk, "op4_quality_classifier": op4_quality_classifier, "op9_bpe": op9_bpe, "op7_token_counts": op7_token_counts, "op5_token_index": op5_token_index, "op2_quality_rules": op2_quality_rules, "op8_mixing": op8_mixing, "op10_sharding": op10_sharding}
 SQL: dict[str, str] = {"op1_exact_topk": _topk_sql, "op2_quality_rules": _rules_sql}
