@@ -47,6 +47,13 @@ def op5_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_duplicates import near_duplicates
+
+    ship_package(spark)
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -83,5 +90,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {"op3_lm_scoring": op3_lm_scoring, "op1_exact_topk": op1_exact_topk, "op4_quality_classifier": op4_quality_classifier, "op9_bpe": op9_bpe, "op7_token_counts": op7_token_counts, "op5_token_index": op5_token_index, "op2_quality_rules": op2_quality_rules, "op8_mixing": op8_mixing, "op10_sharding": op10_sharding}
+QUERIES = {"op6_near_duplicates": op6_near_duplicates, "op3_lm_scoring": op3_lm_scoring, "op1_exact_topk": op1_exact_topk, "op4_quality_classifier": op4_quality_classifier, "op9_bpe": op9_bpe, "op7_token_counts": op7_token_counts, "op5_token_index": op5_token_index, "op2_quality_rules": op2_quality_rules, "op8_mixing": op8_mixing, "op10_sharding": op10_sharding}
 SQL: dict[str, str] = {"op1_exact_topk": _topk_sql, "op2_quality_rules": _rules_sql}
