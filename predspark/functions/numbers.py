@@ -117,7 +117,7 @@ class Number:
         """The integer that the number is as an index or key, as a bigint; NULL if it is none."""
         out = []
         if self.i is not None:
-            out.append(self.i if self.bits < 64 else F.when(self.i < HALF, self.i.cast("bigint")))
+            out.append(self.i if self.bits < 64 else F.when((self.i < F.lit(str(HALF)).cast(EXACT)) & (self.i >= F.lit(str(-HALF)).cast(EXACT)), self.i).cast("bigint"))
         if self.d is not None:
             safe = F.abs(self.d) < float(HALF)
             whole = F.when(safe, self.d.cast("bigint"))

@@ -326,8 +326,7 @@ class Lowering:
                 return Value(DURATION, NANOS, F.when(F.abs(r) <= most, r.cast(NANOS)))
             if isinstance(a.type, ListType) and a.type.of == NUM and a.dt != b.dt:
                 dt = common(a.dt.elementType, b.dt.elementType)
-                a, b = (F.transform(v.column, lambda x, v=v: Number.of(x, v.dt.elementType).column(dt)) for v in (a, b))
-                return Value(e.type, T.ArrayType(dt), F.concat(a, b))
+                return Value(e.type, T.ArrayType(dt), F.concat(widened(a, dt), widened(b, dt)))
             return Value(e.type, a.dt, F.concat(a.column, b.column))
         if name == "size":
             return number(Number(F.size(a.column).cast("bigint"), None, 32))
@@ -395,6 +394,12 @@ class Lowering:
         return found(text, dynamic)
 
 
+def widened(v: Value, dt: T.DataType) -> Column:
+    """A list of numbers with elements of a wider type."""
+    own = v.dt.elementType
+    return v.column if own == dt else F.transform(v.column, lambda x: Number.of(x, own).column(dt))
+
+
 def whole_interval(us: int) -> Column:
     sign, us = ("-" if us < 0 else ""), abs(us)
     days, us = divmod(us, 86_400_000_000)
@@ -411,15 +416,15 @@ def nanos(v: Value) -> Column:
 
 
 def parsed_duration(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def ns(texts: pd.Series) -> pd.Series:
-        def one(t):
-            d = durations.parse(t) if t is not None else None
-            return None if d is None else str(d.ns)
-
-        return pd.Series([one(t) for t in texts], dtype=object)
-
-    return ns(text).cast(NANOS)
+    """The duration at the start of a text, in nanoseconds; NULL if there is none or it is out of range."""
+    part = "([0-9]+\\.?[0-9]*|\\.[0-9]+)(ns|us|µs|ms|h|m|s)"
+    body = F.regexp_extract(text, f"^[-+]?((?:{part.replace('(', '(?:')})+)", 1)
+    sizes = F.create_map(*[F.lit(x) for u, n in durations.UNITS.items() for x in (u, n)])
+    each = F.zip_with(F.regexp_extract_all(body, F.lit(part), 1), F.regexp_extract_all(body, F.lit(part), 2), lambda n, u: n.try_cast("decimal(24,9)") * F.try_element_at(sizes, u).cast("decimal(14,0)"))
+    total = F.floor(F.aggregate(each, F.lit(0).cast("decimal(38,9)"), lambda a, x: F.try_add(a, x).cast("decimal(38,9)"))).cast(WIDE)
+    total = F.when(F.startswith(text, F.lit("-")), -total).otherwise(total)
+    most = F.lit(str(durations.MOST_SECONDS * 10**9)).cast(WIDE)
+    return F.when(body != "", F.when(F.abs(total) <= most, total.cast(NANOS))).when(F.rlike(text, F.lit("^[-+]?0")), F.lit(0).cast(NANOS))
 
 
 __all__ = ["DYN", "EITHER", "Lowering", "Value", "value_of"]
