@@ -154,6 +154,7 @@ class Program:
     plan: Node  # what becomes a Column
     tree: Node  # what source() spells and Python evaluates
     demand: Demand
+    built: dict[bool, Value] = field(default_factory=dict, compare=False, repr=False)
 
     @property
     def type(self) -> Type:
@@ -169,11 +170,14 @@ class Program:
     def with_hosts(self, **hosts: Any) -> Program:
         """Bind declared functions that had no implementation: name=callable on values, or a Host."""
         own = {k: h if isinstance(h, Host) else replace(self.env.hosts[k], python=h) for k, h in hosts.items()}
-        return replace(self, env=replace(self.env, hosts={**self.env.hosts, **own}))
+        return replace(self, env=replace(self.env, hosts={**self.env.hosts, **own}), built={})
 
     def value(self, accept: bool = False) -> Value:
-        roots = {k: r.value(k) for k, r in self.env.roots.items() if k in self.demand.roots()}
-        return Lowering(roots, self.env.hosts).lower(self.plan, {}, accept)
+        """The lowered expression, made once: large known lists are many literals."""
+        if accept not in self.built:
+            roots = {k: r.value(k) for k, r in self.env.roots.items() if k in self.demand.roots()}
+            self.built[accept] = Lowering(roots, self.env.hosts).lower(self.plan, {}, accept)
+        return self.built[accept]
 
     def column(self, accept: bool = False) -> Column:
         """The value; NULL is an error.  A number is a bigint, decimal or double, or a struct of both where rows differ."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -239,8 +240,8 @@ def q34_stream_filter(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     program = Environment.from_df(events, root="e").compile('e.event_type == "click" && e.value > 50')
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    out = tempfile.mkdtemp(dir=base.removeprefix("file://") if base.startswith(("/", "file://")) else None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()  # a cluster has to set a shared folder
+    out = f"{base}/stream-{uuid.uuid4().hex}"
     stream = program.filter(events).select("event_id").writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows")
     stream.awaitTermination()
     return spark.read.schema("event_id long").parquet(f"{out}/rows")
