@@ -49,12 +49,12 @@ def host_rates(judged: DataFrame, max_strength: float = 10_000.0) -> DataFrame:
     host_failed, host_rate."""
     hosts = judged.where("host is not null").groupBy("host").agg(F.count("*").alias("host_docs"), F.count(F.when(F.col("base_failed"), 1)).alias("host_failed"))
     rate = F.col("host_failed") / F.col("host_docs")
-    prior = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("variance"))
-    spread = F.col("mean") * (1 - F.col("mean"))
-    strength = F.when(F.col("variance") * (max_strength + 1) <= spread, F.lit(max_strength)).otherwise(F.greatest(F.lit(1.0), F.try_divide(spread, F.col("variance")) - 1))
-    prior = prior.select("mean", F.coalesce(strength, F.lit(max_strength)).alias("strength"))
-    # the prior is one row
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "host_docs", "host_failed", ((F.col("host_failed") + F.col("mean") * F.col("strength")) / (F.col("host_docs") + F.col("strength"))).alias("host_rate"))
+    mean, variance = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
+    if mean is None:
+        mean, variance = 0.0, 0.0
+    spread = mean * (1 - mean)
+    strength = max_strength if variance * (max_strength + 1) <= spread else max(1.0, spread / variance - 1)
+    return hosts.select("host", "host_docs", "host_failed", ((F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))).alias("host_rate"))
 
 
 def apply_quality_rules(docs: DataFrame, max_host_rate: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
