@@ -22,7 +22,7 @@ from predspark.functions.numbers import WIDE, Number, common, compute, negate, r
 from predspark.plans.ast import Call, Const, Fold, Index, ListOf, Lit, MapOf, Node, Select, Span, Var
 from predspark.plans.evaluate import sorted_keys
 from predspark.plans.specialize import put
-from predspark.types import DURATION, DYN, EITHER, INTERVAL, NANOS, NULL, NUM, STR, Record, Type
+from predspark.types import DURATION, INTERVAL, NANOS, NULL, NUM, STR, Record, Type
 from predspark.types import ListOf as ListType
 from predspark.types import MapOf as MapType
 
@@ -427,4 +427,4 @@ def parsed_duration(text: Column) -> Column:
     return F.when(body != "", F.when(F.abs(total) <= most, total.cast(NANOS))).when(F.rlike(text, F.lit("^[-+]?0")), F.lit(0).cast(NANOS))
 
 
-__all__ = ["DYN", "EITHER", "Lowering", "Value", "value_of"]
+__all__ = ["Lowering", "Value", "value_of"]

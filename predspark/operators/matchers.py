@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from predspark.plans.ast import Call, Fold, Lit, Node, Var
-from predspark.plans.specialize import closed
 
 #: Prefixes up to which a chain of StartsWith is used, which Parquet scans can push down.
 CHAIN = 16
@@ -88,4 +87,4 @@ def _reads(e: Node, var: str) -> bool:
     return any(_reads(c, var) for c in e.children())
 
 
-__all__ = ["closed", "is_one_of", "recognise", "starts_with_any"]
+__all__ = ["is_one_of", "recognise", "starts_with_any"]

@@ -74,16 +74,16 @@ BAD = [
     ("1 == 'a'", "no form"),
     ("[1, 'a'] == []", "one type"),
     ("f ? 1 : 'a'", "no form"),
-    ("5 % 2 == 1", "modulo"),
-    ("int('1') == 1", "conversion"),
-    ("timestamp('x') == 1", "timestamp"),
-    ("type(1) == type(2)", "type values"),
-    ("dyn(1) == 1", "dyn"),
-    ("1u == 1", "uint"),
+    ("5 % 2 == 1", "remainder"),
+    ("int('1') == 1", "not converted"),
+    ("timestamp('x') == 1", "instants"),
+    ("type(1) == type(2)", "types are not values"),
+    ("dyn(1) == 1", "static type"),
+    ("1u == 1", "without u"),
     ("d > 1d", "unknown unit"),
     ("m.`k` == 1", "backticks"),
     ("Msg{a: 1} == 1", "messages"),
-    ("[?f] == []", "optional elements"),
+    ("[?f] == []", "cannot be optional"),
     ("xs.all(i, x, true)", "one variable"),
     ("f &&", "expected"),
     ("'abc", "unterminated"),
