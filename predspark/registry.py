@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from predspark.functions.hosts import Host
 from predspark.operators.environment import Environment, decide_all
+from predspark.shipping import ship_package
 from predspark.sources import json_text
 from predspark.streaming.documents import decide_documents
 from predspark.types import DURATION, NUM, STR, Field, ListOf, MapOf, Record
@@ -164,6 +165,7 @@ def q26_host_columns(spark, sf_dir):
 
 @query("SELECT p_partkey, reverse(p_brand) AS value FROM part")
 def q26_host_python(spark, sf_dir):
+    ship_package(spark)
     df = table(spark, sf_dir, "part")
     env = Environment.from_df(df, root="p").register("rev", Host((STR,), STR, member=True, python=lambda s: s[::-1]))
     return df.select("p_partkey", env.compile("p.p_brand.rev()", "string").column().alias("value"))

@@ -21,6 +21,7 @@ from predspark.functions import durations
 from predspark.operators.environment import Program
 from predspark.plans.ast import Select, Span, walk
 from predspark.plans.evaluate import ABSENT, evaluate
+from predspark.shipping import ship_package
 from predspark.types import BOOL, DURATION, LEAST_INT, MOST_INT, NUM, STR, MapOf, Record, Type
 
 #: Characters of text that the cells of a document hold together.
@@ -199,6 +200,7 @@ def decide_documents(events: DataFrame, program: Program, root: str) -> DataFram
     """(doc_id, verdict) for each document, once, in append mode when events is a stream.  Events of a document are
     taken in the order of seq within a micro-batch, and micro-batches in the order they come."""
     wanted, kind = shape_of(program, root), program.env.roots[root].type
+    ship_package(events.sparkSession)
 
     def advance(rows: pd.DataFrame, doc: Document) -> str | None:
         for event, text in rows.sort_values("seq")[["kind", "text"]].itertuples(index=False):
