@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from predspark.shipping import ship_package
+
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -42,20 +42,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialised table that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration() if hasattr(df.sparkSession, "_jsc") else df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
-
-
-def need(docs: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, under fixed names: other columns, whatever they are called, cannot clash."""
-    return docs.select(*[docs[source].cast(kind).alias(name) for name, (source, kind) in columns.items()])
-
-
 def words(text: Column) -> Column:
     """The words of a text as an array; null text has none."""
     return F.coalesce(F.array_remove(F.split(text, GAP), ""), F.array().cast("array<string>"))
@@ -83,31 +69,8 @@ def expand(df: DataFrame, count: Column, index: str, chunk: int = 65536) -> Data
     return pieces.withColumn(index, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + chunk, F.col("_count")) - 1))).drop("_count", "_from")
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that do not find it by themselves."""
-    import zipfile
-
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    seen = os.environ.get("PYTHONPATH", "").split(":")
-    if root in seen or os.getcwd() == root or spark.sparkContext.applicationId in _shipped:
-        return
-    _shipped.add(spark.sparkContext.applicationId)
-    target = os.path.join(tempfile.mkdtemp(), "predspark.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for d, _, names in os.walk(os.path.join(root, "predspark")):
-            for f in names:
-                if f.endswith(".py"):
-                    full = os.path.join(d, f)
-                    z.write(full, os.path.relpath(full, root))
-    spark.sparkContext.addPyFile(target)
-
-
-_shipped: set[str] = set()
+__all__ = ["GAP", "WORD", "expand", "global_prefix", "materialize", "shared_path", "shared_root", "ship_package", "table"]
