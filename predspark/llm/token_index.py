@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import slices
+from .bpe import byte_alphabet, slices
 from .common import materialize, shared_path
 
 MAGIC = b"MPHIDX01"
 MAX_LEVELS = 40
 LOAD = 2.0
-REMEMBERED = 350_000
+#: Words that a worker remembers.
+REMEMBERED = 600_000
 
 
 def open_fs(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -145,9 +147,29 @@ class IndexPart:
         return found, self.shard[safe], self.first[safe], self.count[safe]
 
 
+#: What a pre-tokenizer of lower-cased words has to be for words to be cut here.  Fixed values.
+LOWER_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+# Words below U+0180 whose normal form is str.lower(), and that pattern for them: letters, numbers, others.
+_plain = re.compile("[^\u0130\x85\xa0\u0180-\U0010ffff]*\\Z")
+_pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f0-9\xb2\xb3\xb9\xbc-\xbe]+")
+
+
 class WordEncoder:
     """Texts to raw ids by a tokenizers file whose pre-tokenizer drops white space: words between ASCII white space
-    are encoded by themselves, each distinct one once while it is remembered."""
+    are encoded by themselves, each distinct one once while it is remembered.  When too many are, those of the last
+    few calls stay.  Where the file normalizes and cuts as LOWER_WORDS has it, plain words are cut here and only the
+    library's merges are called; all other words go through the whole library."""
+
+    KEPT_CALLS = 3
 
     def __init__(self, path: str, dtype: str) -> None:
         from tokenizers import Tokenizer
@@ -156,17 +178,36 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.direct = all(spec[k] == v for k, v in LOWER_WORDS.items())
+        self.alphabet = dict(enumerate(byte_alphabet()))
         self.dtype = dtype
         self.known: dict[bytes, bytes] = {}
+        self.recent: list[set[bytes]] = []
+
+    def _learn(self, new: list[bytes]) -> None:
+        known, rest, model = self.known, [], self.tokenizer.model
+        for w in new:
+            word = w.decode("utf-8", "surrogatepass")
+            if not self.direct or not _plain.match(word) or any(a in word for a in self.added):
+                rest.append((w, word))
+                continue
+            ids = [t.id for p in _pieces.findall(word.lower()) for t in model.tokenize(p.encode().decode("latin-1").translate(self.alphabet))]
+            known[w] = np.array(ids, self.dtype).tobytes()
+        if rest:
+            for (w, _), e in zip(rest, self.tokenizer.encode_batch_fast([x for _, x in rest], add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.encode("utf-8", "surrogatepass").split() for t in texts]  # bytes.split() knows ASCII white space only
+        used = {w for own in cut for w in own}
+        if len(self.known) > REMEMBERED:
+            self.known = {w: self.known[w] for own in self.recent for w in own if w in self.known}
+        self.recent = [*self.recent[1 - self.KEPT_CALLS :], used]
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        if new := list({w for own in cut for w in own if w not in known}):
-            ids = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-            known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(new, ids, strict=True))
+        self._learn([w for w in used if w not in known])
         return [b"".join([known[w] for w in own]) for own in cut]
 
 
