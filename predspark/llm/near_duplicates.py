@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bag_minhash import BANDS, Shingler, bands, signatures, weighted_jaccard
+from .bag_minhash import Shingler, bands, signatures, weighted_jaccard
 from .bpe import slices
 from .common import materialize
 
@@ -48,17 +48,28 @@ class Forest:
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """Connected components of edges (a, b): node, label (the least node).  Each round takes the least label of the
-    neighbours, then the label's own label; labels are written to the shared folder, and a count comes to the driver."""
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), f"{name}-edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), f"{name}-labels")
+    """Connected components of edges (a, b): node, label (the least node).
+
+    Each round maps a node to its least neighbour's least neighbour (itself counts) and the edges to what their ends
+    became, so at least half of the nodes that are left go each round, and the edges with them.  Edges and labels are
+    written to the shared folder; a count comes to the driver."""
+    edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    labels = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = materialize(lower.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")), f"{name}-labels")
-        labels = new.select("node", "label")
-        if not new.where("label < was").limit(1).count():
+        ways = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select("b", "a"))
+        up = ways.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("up"))
+        up = materialize(up, f"{name}-up")
+        over = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        step = materialize(up.join(over, "up").select("node", F.col("top").alias("label")), f"{name}-step")
+        if labels is None:
+            labels = step
+        else:
+            further = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
+            labels = materialize(labels.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label")), f"{name}-labels")
+        a, b = step.select(F.col("node").alias("a"), F.col("label").alias("x")), step.select(F.col("node").alias("b"), F.col("label").alias("y"))
+        left = edges.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        edges = materialize(left, f"{name}-edges")
+        if edges.isEmpty():
             return labels
 
 
@@ -71,45 +82,49 @@ def in_block_pairs(df: DataFrame, keys: list[str], node: str, size: str, block:
     return df.withColumn("i", F.least("own", "_other")).withColumn("j", F.greatest("own", "_other")).drop("_other", size)
 
 
-def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """work on all rows of each key, in one task after another key; a group is bounded by its caller."""
-    n = len(keys)
+def by_group(df: DataFrame, keys: list[str], work: Callable[..., Iterator[tuple[bytes, bytes]]], extra: list[str]) -> DataFrame:
+    """Deal rows by key and hand each group of two or more to work(h, own, i, j, columns): the digests, the blocks,
+    the group's pair of blocks, and the extra columns as lists.  work gives edges (a, b).  A group is bounded by its
+    caller; a task holds one group and one batch."""
+    columns = ["h", "own", *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
+        last, held = None, None
         for batch in batches:
             if not len(batch):
                 continue
-            rows = list(zip(*[batch.column(k).to_pylist() for k in range(n)], strict=True))
+            rows = list(zip(*[batch.column(k).to_pylist() for k in range(len(keys))], strict=True))
+            cols = [batch.column(c).to_pylist() for c in columns]
             cuts = [0, *[r for r in range(1, len(rows)) if rows[r] != rows[r - 1]], len(rows)]
+            edges: list[tuple[bytes, bytes]] = []
             for s, e in zip(cuts, cuts[1:], strict=False):
-                if rows[s] != last and held:
-                    if (out := work(pa.Table.from_batches(held).combine_chunks())) is not None:
-                        yield out
-                    held = []
-                last = rows[s]
-                held.append(batch.slice(s, e - s))
-        if held and (out := work(pa.Table.from_batches(held).combine_chunks())) is not None:
-            yield out
-
-    columns = [*keys, *[c for c in df.columns if c not in keys]]
-    return df.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
-
-
-def distinct_rows(group: pa.Table, column: str) -> np.ndarray:
-    """First row of each value of a column."""
-    return np.array(sorted({v: i for i, v in reversed(list(enumerate(group.column(column).to_pylist())))}.values()))
+                own = [c[s:e] for c in cols]
+                if rows[s] == last:
+                    for h, o in zip(held, own, strict=True):
+                        h.extend(o)
+                    continue
+                if held is not None and len(held[0]) > 1:
+                    edges.extend(work(held[0], np.array(held[1]), *last[-2:], held[2:]))
+                last, held = rows[s], own
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in edges], pa.binary()) for k in (0, 1)], schema=EDGE)
+        if held is not None and len(held[0]) > 1 and (edges := list(work(held[0], np.array(held[1]), *last[-2:], held[2:]))):
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in edges], pa.binary()) for k in (0, 1)], schema=EDGE)
+
+    # a number of partitions: by bytes alone Spark would leave this work to a few tasks
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(*keys, *columns).repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary")
 
 
 def agreeing(marks: np.ndarray, own: np.ndarray, i: int, j: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows, of blocks i and j each if they differ, whose signatures agree in `least` components or more."""
-    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-    if not len(left) or not len(right):
-        return left[:0], left[:0]
-    same = np.zeros((len(left), len(right)), np.uint8)
-    for c in range(marks.shape[1]):
-        same += marks[left, c][:, None] == marks[right, c][None, :]
+    left, right = (np.arange(len(own)), np.arange(len(own))) if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
+    if len(left) * len(right) <= 4096:
+        same = (marks[left][:, None, :] == marks[right][None, :, :]).sum(2)
+    else:
+        same = np.zeros((len(left), len(right)), np.uint8)
+        for c in range(marks.shape[1]):
+            same += marks[left, c][:, None] == marks[right, c][None, :]
     x, y = np.nonzero(same >= least)
     x, y = left[x], right[y]
     return (x[x < y], y[x < y]) if i == j else (x, y)
@@ -141,41 +156,34 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK
                 bags = shingler.bags([texts[i] for i in first])
                 signed = signatures(bags)
                 keys, marks = bands(signed), (signed.view(np.uint64) >> np.uint64(3)).astype(np.uint8)
-                key_of = {i: (keys[k].tobytes(), marks[k].tobytes()) for k, i in enumerate(first) if len(bags[k][0])}
+                key_of = {i: (keys[k].tolist(), marks[k].tobytes()) for k, i in enumerate(first) if len(bags[k][0])}
                 none = {digests[i] for k, i in enumerate(first) if not len(bags[k][0])}
                 own = range(*part.indices(len(texts)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id")[part],
                         pa.array([None if digests[i] in none else digests[i] for i in own], pa.binary()),
-                        pa.array([key_of.get(i, (None, None))[0] for i in own], pa.binary()),
+                        pa.array([key_of.get(i, (None, None))[0] for i in own], pa.list_(pa.int64())),
                         pa.array([key_of.get(i, (None, None))[1] for i in own], pa.binary()),
                     ],
                     names=["doc_id", "h", "bands", "marks"],
                 )
 
-    signed = materialize(rows.mapInArrow(sign, "doc_id long, h binary, bands binary, marks binary"), "near-signed")
+    signed = materialize(rows.mapInArrow(sign, "doc_id long, h binary, bands array<long>, marks binary"), "near-signed")
 
     # 1. buckets with different texts; a text that is signed by several tasks is there more than once, with equal keys
-    key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring("bands", k * 8 + 1, F.lit(8)))
-    texts = signed.where("bands is not null").select("h", "marks", key.alias("keys"))
-    spread = texts.select("h", F.explode("keys").alias("band"))
-    buckets = spread.groupBy("band").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("band", "size")
-    members = texts.select("h", "marks", F.explode("keys").alias("band")).join(buckets, "band")
-
-    def bucket(group: pa.Table) -> pa.RecordBatch | None:
-        group = group.take(pa.array(distinct_rows(group, "h")))
-        if len(group) < 2:
-            return None
-        marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint8).reshape(len(group), -1)
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        x, y = agreeing(marks, group.column("own").to_numpy(), i, j, agree)
-        forest, h = Forest(len(group)), group.column("h").to_pylist()
-        edges = [(h[a], h[b]) for a, b in zip(x.tolist(), y.tolist(), strict=True) if forest.join(a, b)]
-        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.binary()) for k in (0, 1)], schema=EDGE) if edges else None
-
-    edges = by_group(in_block_pairs(members, ["band"], "h", "size", block), ["band", "i", "j"], bucket, "a binary, b binary")
-    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-candidates")
+    spread = signed.where("bands is not null").select("h", F.explode("bands").alias("band"))
+    short = F.conv(F.hex(F.substring("h", 1, 7)), 16, 10).cast("bigint")
+    buckets = spread.select("band", short.alias("t")).groupBy("band").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("band", "size")
+    members = materialize(spread.join(buckets, "band"), "near-members")
+    marked = signed.where("marks is not null").select("h", "marks").dropDuplicates(["h"])
+
+    def bucket(h: list[bytes], own: np.ndarray, i: int, j: int, cols: list) -> Iterator[tuple[bytes, bytes]]:
+        x, y = agreeing(np.frombuffer(b"".join(cols[0]), np.uint8).reshape(len(h), -1), own, i, j, agree)
+        forest = Forest(len(h))
+        return ((h[a], h[b]) for a, b in zip(x.tolist(), y.tolist(), strict=True) if forest.join(a, b))
+
+    edges = by_group(in_block_pairs(members.join(marked, "h"), ["band"], "h", "size", block), ["band", "i", "j"], bucket, ["marks"])
     clusters = components(edges, "near-clusters")
 
     # 2. bags of the texts in clusters, each sent to its cluster once for each pair of its block with another
@@ -205,30 +213,25 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK
     bagged = wanted.mapInArrow(bag, "h binary, cluster binary, size long, bands binary, marks binary, shingles binary, weights binary")
     num, den = similarity.as_integer_ratio() if similarity != 0.8 else (4, 5)
 
-    def cluster(group: pa.Table) -> pa.RecordBatch | None:
-        group = group.take(pa.array(distinct_rows(group, "h")))
-        if len(group) < 2:
-            return None
-        marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint8).reshape(len(group), -1)
-        keys = np.frombuffer(b"".join(group.column("bands").to_pylist()), np.int64).reshape(len(group), -1)
-        bags = [(np.frombuffer(s, np.uint64), np.frombuffer(w, np.int32)) for s, w in zip(group.column("shingles").to_pylist(), group.column("weights").to_pylist(), strict=True)]
+    def cluster(h: list[bytes], own: np.ndarray, i: int, j: int, cols: list) -> Iterator[tuple[bytes, bytes]]:
+        marks = np.frombuffer(b"".join(cols[0]), np.uint8).reshape(len(h), -1)
+        keys = np.frombuffer(b"".join(cols[1]), np.int64).reshape(len(h), -1)
+        bags = [(np.frombuffer(s, np.uint64), np.frombuffer(w, np.int32)) for s, w in zip(cols[2], cols[3], strict=True)]
         total = np.array([int(w.sum()) for _, w in bags])
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        x, y = agreeing(marks, group.column("own").to_numpy(), i, j, agree)
+        x, y = agreeing(marks, own, i, j, agree)
         near = np.minimum(total[x], total[y]) * den >= np.maximum(total[x], total[y]) * num
         x, y = x[near], y[near]
         shares = np.concatenate([(keys[x[s : s + 65536]] == keys[y[s : s + 65536]]).any(1) for s in range(0, len(x), 65536)] or [np.zeros(0, bool)])
-        forest, h, links = Forest(len(group)), group.column("h").to_pylist(), []
+        forest = Forest(len(h))
         for a, b in zip(x[shares].tolist(), y[shares].tolist(), strict=True):
             if forest.root(a) != forest.root(b):
                 least, most = weighted_jaccard(bags[a], bags[b])
                 if least * den >= most * num:
                     forest.join(a, b)
-                    links.append((h[a], h[b]))
-        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in links], pa.binary()) for k in (0, 1)], schema=EDGE) if links else None
+                    yield h[a], h[b]
 
-    links = by_group(in_block_pairs(bagged, ["cluster"], "h", "size", block), ["cluster", "i", "j"], cluster, "a binary, b binary")
-    classes = components(materialize(links, "near-links"), "near-classes")
+    links = by_group(in_block_pairs(bagged, ["cluster"], "h", "size", block), ["cluster", "i", "j"], cluster, ["marks", "bands", "shingles", "weights"])
+    classes = components(links, "near-classes")
 
     # 3. classes of documents
     labelled = signed.select("doc_id", "h").join(classes.withColumnRenamed("node", "h"), "h", "left").select("doc_id", F.coalesce("label", "h").alias("label"))
