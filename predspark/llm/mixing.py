@@ -68,9 +68,11 @@ def mix(docs: DataFrame, block: int = 64, shard_slots: int = 4096, seed: int = 2
     planned = materialize(global_prefix(planned, [F.col("sid")], {"first_slot": "slots"}, "_rank", "mix-plan").drop("_rank"), "mix-planned")
     all_slots = planned.agg(F.sum("slots")).first()[0] or 0
 
+    # a number of partitions and merge hints: by their estimated size, which an explode does not raise, Spark would run
+    # all slots in one task and broadcast them
     chunk = 16384
     starts = planned.where("slots > 0").withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(chunk).cast("long"))))
-    starts = starts.select("sid", "blocks", "slots", "first_slot", "from").repartition("sid", "from")
+    starts = starts.select("sid", "blocks", "slots", "first_slot", "from").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "from")
     slots = starts.withColumn("j", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + chunk, F.col("slots")) - 1)))
     place = permuted(F.col("first_slot") + F.col("j"), F.lit(all_slots).cast("long"), seed)
     slots = slots.select(
@@ -96,10 +98,10 @@ def mix(docs: DataFrame, block: int = 64, shard_slots: int = 4096, seed: int = 2
     single = single.select("doc_id", "source", "sid", "size", "copy", "source_size", "target", "start")
     reach = single.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    got = reach.withColumn("words", overlap).join(drawn, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    got = reach.withColumn("words", overlap).join(drawn.hint("merge"), ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     # a document that has words is alone at its start
     have = single.withColumn("_at", F.when(F.col("size") > 0, F.col("start")).otherwise(-1 - F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))))
-    out = have.join(got.select(F.col("sid").alias("_sid"), F.col("start").alias("_start"), "taken"), (F.col("sid") == F.col("_sid")) & (F.col("_at") == F.col("_start")), "left")
+    out = have.join(got.select(F.col("sid").alias("_sid"), F.col("start").alias("_start"), "taken").hint("merge"), (F.col("sid") == F.col("_sid")) & (F.col("_at") == F.col("_start")), "left")
     return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), slots
 
 
