@@ -1,34 +1,51 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
 Symbols are words (A-Z lower-cased) and an end.  A context is the one to `depth` symbols before a position, a start
-mark among them.  The tree keeps a context if it is frequent and if what follows it diverges from what follows its own
-suffix; a position is scored in the longest kept suffix of what precedes it.
+mark among them.  The tree keeps a context if it occurs least_context times or more and if what follows it diverges
+from what follows its own suffix; a position is scored in the longest kept suffix of what precedes it.  A next symbol
+of a context is stored if it follows least_symbol times or more.  Both are counts, so the tree grows with the corpus.
 
-Size of the model: a context must hold a share p_context of all positions, a stored next symbol of a context a share
-p_symbol, and a word that is kept for scoring a share p_root; shares add up to one, so there are at most 1/p of each
-per depth, at any corpus size.  These are what is collected and broadcast.  Everything else (rare words) is a join."""
+The tree is a table.  In a kept context c with back-off weight b(c) the probability of a symbol s is
+
+    p(s | c) = stored share + b(c) * p(s | longest kept proper suffix of c)
+
+so log p is a sum over n-grams that end at the position: the root's log p(s), log b(c) for each kept context, and for
+each stored next symbol what it adds to plain back-off.  An n-gram is also the context that comes before the next
+symbol, hence one row (key, n, value) for each n-gram, and a text's score is the sum of the values of its n-grams.
+
+Only bounded things are collected and broadcast: n-grams that hold a share p_root of all positions (at most 1/p_root of
+each order), and bitmaps of a fixed size that tell which n-grams cannot be in a table; a bitmap that fills up lets more
+rows through, which the joins then drop.  Everything else is a join, of which no key is hot.  Words and n-grams are
+told apart by 63-bit hashes: n of them have about n**2 / 2**64 colliding pairs."""
 
 from __future__ import annotations
 
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .quality_classifier import fold
 
 END = b""
+START = b" ^"  # no word holds a space
 #: Entries of a task's counter at which it is sent on.
 FLUSH = 400_000
 #: Words that are looked at together.
-WORDS = 1_000_000
+WORDS = 400_000
+#: Words whose hashes a worker remembers.
+REMEMBERED = 400_000
+#: Bits of a bitmap.
+BITS = 27
+DISCOUNT = 0.5
 
 
 def texts_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
@@ -48,145 +65,123 @@ def texts_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             yield batch.slice(start), cut
 
 
-@dataclass
-class Level:
-    """Contexts of one depth: sorted keys (id of the context one shorter, reaching less far back in time, << 32 | the
-    symbol after it), their counts, whether they are kept, and their stored next symbols."""
+def symbol_key(word: bytes) -> int:
+    """An odd number; keys of longer n-grams are even."""
+    return xxhash.xxh64_intdigest(word) | 1
+
+
+def signed(key: int) -> int:
+    return key - (1 << 64) if key >> 63 else key
+
+
+class Keys(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = key = symbol_key(word)
+        return key
+
+
+def gram_key(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The key of an n-gram from those of its first and its last n - 1 symbols."""
+    x = prefix * np.uint64(0x9E3779B97F4A7C15) + suffix * np.uint64(0x9FB21C651E98DF25)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(29))) & np.uint64(0xFFFFFFFFFFFFFFFE)
+
+
+def grams(known: Keys, texts: list[list[bytes]], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order from 1 on: key, prefix and suffix of the n-grams that end at a position, and the position, of all
+    positions whose text goes back that far; positions count start marks."""
+    if len(known) > REMEMBERED:
+        known.clear()
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    mark = (START,)
+    keys = np.fromiter((known[w] for t in texts for own in (mark, t) for w in own), np.uint64, int(sizes.sum()))
+    place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.flatnonzero(place >= 1)
+    yield keys[at], keys[at], keys[at], at
+    for n in range(1, order):
+        at = np.flatnonzero(place >= n)
+        prefix, suffix = keys[at - 1], keys[at]
+        keys = np.zeros(len(keys), np.uint64)
+        keys[at] = gram_key(prefix, suffix)
+        yield keys[at], prefix, suffix, at
+
+
+def bitmap(table: DataFrame, key: str) -> np.ndarray:
+    """A fixed number of bits, set where a key of the table falls; at most 2**(BITS - 5) rows are collected."""
+    bit = F.shiftrightunsigned(key, 1).bitwiseAND(F.lit((1 << BITS) - 1))
+    # 32 bits a word, so that none is negative
+    word, low = F.shiftright(bit, 5), bit.bitwiseAND(F.lit(31)).cast("int")
+    got = table.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), low).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (BITS - 5), np.uint32)
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.uint32)
+    return out
+
 
-    keys: np.ndarray
-    total: np.ndarray
-    kept: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
-    pair_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    pair_counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float64))
-    back_off: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float64))
-    symbols: list[tuple[int, ...]] = field(default_factory=list)
+def within(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False where a key is certainly not in the table of the bitmap."""
+    bit = (keys >> np.uint64(1)) & np.uint64((1 << BITS) - 1)
+    return (bits[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
 
-    def find(self, shorter: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        return lookup(self.keys, np.where((shorter >= 0) & (symbol >= 0), shorter << 32 | symbol, -1))
 
+def matched(rows: DataFrame, key: str, table: DataFrame, hot: float) -> DataFrame:
+    """Inner join with table (key, n, ...), of which rows with n >= hot, of a bounded number, are broadcast: n bounds
+    the rows that share a key."""
+    large = table.where(F.col("n") >= hot).drop("n")
+    small = table.where(F.col("n") < hot).drop("n")
+    near = rows.join(F.broadcast(large), key)
+    far = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(small.hint("merge"), key)
+    return near.unionByName(far)
 
-def lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The place of each wanted key among sorted keys, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """materialize(), and no shuffle files of df stay, as nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN, "false")
+    conf.set(CLEAN, "true")
+    try:
+        return materialize(df, name)
+    finally:
+        conf.set(CLEAN, before)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialized table that is not read again."""
+    spark = df.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 @dataclass
 class SuffixTree:
     tokens: int  # N, ends included
     distinct: int  # V
-    words: dict[bytes, int]  # frequent words, by falling count
-    counts: np.ndarray
-    levels: list[Level] = field(default_factory=list)
-    discount: float = 0.5
-
-    @property
-    def start(self) -> int:
-        """The id of the start mark, which is only ever part of a context."""
-        return len(self.counts)
+    table: DataFrame  # key, n, value (log10) of each n-gram that has one; words have all
+    hot: float  # n from which a row is broadcast
+    start: float = 0.0  # value of the start mark
 
-    def base(self, count):
-        return np.log10((count + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
-
-    def root(self, count):
+    def root(self, count: Column) -> Column:
         """Probability of a word without context: a discount of each known word's count goes to the unknown word."""
-        count = np.asarray(count, np.float64)
         if not self.tokens:
-            return np.ones(len(count))
-        return np.where(count > 0, count - self.discount, self.discount * self.distinct) / self.tokens
-
-    def ids(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all symbols end to end (-1: not frequent) and each symbol's place in its text."""
-        get = self.words.get
-        sizes = [len(t) for t in texts]
-        ids = np.fromiter((get(w, -1) for t in texts for w in t), np.int64, sum(sizes))
-        return ids, np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-    def contexts(self, ids: np.ndarray, place: np.ndarray, levels: list[Level]) -> Iterator[np.ndarray]:
-        """For each depth the context that ends just before each position, as its place in the level or -1.  The
-        context (a, b) is what (a), the context before b, becomes by b."""
-        before = np.empty_like(ids)
-        before[:1], before[1:] = self.start, ids[:-1]
-        before[place == 0] = self.start
-        shorter = np.zeros(len(ids), np.int64)  # the empty context
-        for level in levels:
-            now = level.find(shorter, before)
-            yield now
-            shorter = np.append(-1, now[:-1])
-            shorter[place == 0] = -1
-
-    def probabilities(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Of each position in its longest kept state; for a word that is not frequent, only the weight that its
-        states leave to the root."""
-        p = np.where(ids >= 0, self.root(np.append(self.counts, 0)[ids]), 1.0)
-        for level, at in zip(self.levels, self.contexts(ids, place, self.levels), strict=True):
-            state = np.flatnonzero(at >= 0)
-            state = state[level.kept[at[state]]]
-            c, symbol = at[state], ids[state]
-            pair = lookup(level.pair_keys, np.where(symbol >= 0, c << 32 | symbol, -1))
-            seen = np.where(pair >= 0, np.append(level.pair_counts, 0.0)[pair] - self.discount, 0.0)
-            p[state] = seen / level.total[c] + level.back_off[c] * p[state]
-        return p
-
-
-def by_context(level: Level) -> np.ndarray:
-    return level.pair_keys >> 32
-
-
-def close_level(tree: SuffixTree, level: Level, min_divergence: float) -> None:
-    """Smooth a level and test each of its contexts: keep it if the Kullback-Leibler divergence (nats) of its stored
-    next symbols, and of the rest as one event, from what the longest kept suffix gives is min_divergence or more.
-    The divergence is weighed against chance: stored symbols / (2 * count) nats are expected without any."""
-    owner, symbol = by_context(level), level.pair_keys & 0xFFFFFFFF
-    n = len(level.keys)
-    level.back_off = 1.0 - np.bincount(owner, (level.pair_counts - tree.discount) / level.total[owner], n) if n else np.zeros(0)
-    shorter = np.empty(len(owner))
-    for i in range(len(owner)):  # at most 1 / p_symbol
-        shorter[i] = suffix_probability(tree, level.symbols[owner[i]], int(symbol[i]))
-    share = level.pair_counts / level.total[owner]
-    inside, outside = np.bincount(owner, share, n), np.bincount(owner, shorter, n)
-    gain = np.bincount(owner, share * np.log(share / shorter), n)
-    rest, rest_shorter = np.maximum(1 - inside, 0), np.maximum(1 - outside, 1e-12)
-    gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / rest_shorter), 0.0)
-    chance = np.bincount(owner, minlength=n) / (2 * level.total)
-    level.kept = gain - chance >= min_divergence
-
-
-def suffix_probability(tree: SuffixTree, context: tuple[int, ...], symbol: int) -> float:
-    """P(symbol) in the longest kept proper suffix of a context; symbols are frequent."""
-    p = float((tree.counts[symbol] - tree.discount) / tree.tokens)
-    for d in range(1, len(context)):
-        level, suffix = tree.levels[d - 1], context[len(context) - d :]
-        c = index_of(tree, suffix)
-        if c is None or not level.kept[c]:
-            continue
-        at = lookup(level.pair_keys, np.array([c << 32 | symbol]))[0]
-        p = (max(level.pair_counts[at] - tree.discount, 0.0) if at >= 0 else 0.0) / level.total[c] + level.back_off[c] * p
-    return p
-
-
-def index_of(tree: SuffixTree, context: tuple[int, ...]) -> int | None:
-    at = 0
-    for level, symbol in zip(tree.levels, context, strict=False):
-        at = int(lookup(level.keys, np.array([at << 32 | symbol]))[0])
-        if at < 0:
-            return None
-    return at
-
-
-def train(docs: DataFrame, depth: int = 3, p_root: float = 1e-6, p_context: float = 1e-4, p_symbol: float = 1e-5, min_divergence: float = 0.01) -> tuple[SuffixTree, DataFrame]:
-    """docs: held, text.  Learns from rows that are not held; returns the tree and the table of all words (word, c).
-    One pass counts words; one pass for each depth counts what follows the contexts of that depth, summed in each task
-    before the shuffle."""
+            return F.lit(1.0)
+        return F.when(count > 0, count - DISCOUNT).otherwise(DISCOUNT * self.distinct) / F.lit(float(self.tokens))
+
+
+def train(docs: DataFrame, depth: int = 3, least_context: int = 10, least_symbol: int = 2, p_root: float = 1e-6, p_context: float = 0.0, p_symbol: float = 0.0, min_divergence: float = 0.01) -> SuffixTree:
+    """docs: held, text.  Learns from rows that are not held.  One pass counts words; one pass for each depth counts
+    what follows the contexts of that depth, summed in each task before the shuffle.  p_context and p_symbol can raise
+    least_context and least_symbol to shares of all positions, for a tree of bounded size."""
     learned = docs.where(~F.col("held")).select("text")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
 
         def packed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+            keys = np.fromiter(map(symbol_key, counts), np.uint64, len(counts)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(counts.values()), pa.int64())], names=["key", "n"])
 
         for _, texts in texts_in(batches):
             for own in texts:
@@ -196,138 +191,183 @@ def train(docs: DataFrame, depth: int = 3, p_root: float = 1e-6, p_context: floa
                 counts.clear()
         yield packed()
 
-    vocabulary = materialize(learned.mapInArrow(count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "pst-words")
-    tokens, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(2, math.ceil(p_root * tokens))
-    frequent = vocabulary.where(F.col("c") >= least).orderBy(F.desc("c"), "word").toArrow()  # at most 1 / p_root rows
-    names = frequent.column("word").to_pylist()
-    tree = SuffixTree(tokens, distinct, {w: i for i, w in enumerate(names)}, np.array(frequent.column("c").to_pylist(), np.float64))
-    texts = int(tree.counts[tree.words[END]]) if END in tree.words else 0
-    if not tokens or not texts:
-        return tree, vocabulary
-
-    many = np.append(tree.counts, texts)  # the start mark occurs once a text
-    first = np.flatnonzero(many >= max(2, p_context * tokens))
-    first = first[first != tree.words[END]]  # nothing follows an end
-    candidates = Level(np.sort(first).astype(np.int64), np.zeros(len(first)), symbols=[(int(s),) for s in np.sort(first)])
-    symbols = int((tree.counts >= max(2, p_symbol * tokens)).sum())  # ids are by falling count
+    vocabulary = kept(learned.mapInArrow(count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "pst-words")
+    tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tree = SuffixTree(tokens, distinct, vocabulary, max(2, math.ceil(p_root * tokens)))
+    words = vocabulary.select("key", "n", tree.root(F.col("n")).alias("q"))
+    tree.table = values = words.select("key", "n", F.log10("q").alias("value"))
+    ends = vocabulary.where(F.col("key") == signed(symbol_key(END))).first()
+    if not tokens or ends is None:
+        return tree
     spark = docs.sparkSession
-    for _ in range(depth):
-        if not len(candidates.keys):
-            break
-        shared = spark.sparkContext.broadcast((tree, [*tree.levels, candidates]))
+    least_context, least_symbol = max(2, least_context, math.ceil(p_context * tokens)), max(2, math.ceil(p_symbol * tokens), least_symbol)
+    start = spark.range(1).select(F.lit(signed(symbol_key(START))).alias("key"), F.lit(ends["n"]).alias("n"))  # once a text
+    stored = words
+    contexts = words.select("key", "n").union(start).where(F.col("n") >= least_context)
+    for order in range(2, depth + 2):
+        shared = spark.sparkContext.broadcast((bitmap(contexts, "key"), bitmap(stored.where(F.col("n") >= least_symbol), "key")))
+
+        def count_next(batches: Iterator[pa.RecordBatch], shared=shared, order=order) -> Iterator[pa.RecordBatch]:
+            before, after = shared.value
+            known, held, size = Keys(), [], 0
 
-        def count_next(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            model, levels = shared.value
-            held: list[tuple[np.ndarray, np.ndarray]] = []
+            def summed() -> list[np.ndarray]:
+                key, prefix, suffix, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                key, first, where = np.unique(key, return_index=True, return_inverse=True)
+                return [key, prefix[first], suffix[first], np.bincount(where, n).astype(np.int64)]
 
-            def summed() -> tuple[np.ndarray, np.ndarray]:
-                keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-                return keys, np.bincount(where, np.concatenate([n for _, n in held])).astype(np.int64)
+            def packed(got: list[np.ndarray]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in got[1:]], names=["prefix", "suffix", "n"])
 
             for _, texts in texts_in(batches):
-                ids, place = model.ids(texts)
-                *_, at = model.contexts(ids, place, levels)
-                follows = np.flatnonzero(at >= 0)
-                c, symbol = at[follows], ids[follows]
-                # 0: any symbol; else the symbol's id and 1
-                keys = np.concatenate([c << 32, (c << 32 | symbol + 1)[(symbol >= 0) & (symbol < symbols)]])
-                held.append(tuple(x.astype(np.int64) for x in np.unique(keys, return_counts=True)))
-                if sum(len(k) for k, _ in held) > 4 * FLUSH:
+                *_, (key, prefix, suffix, _) = grams(known, texts, order)
+                # a stored n-gram's prefix is a context, and its suffix is stored
+                may = np.flatnonzero(within(before, prefix))
+                may = may[within(after, suffix[may])]
+                key, first, n = np.unique(key[may], return_index=True, return_counts=True)
+                held.append([key, prefix[may][first], suffix[may][first], n])
+                size += len(key)
+                if size > 3 * FLUSH:
                     held[:] = [summed()]
-                    if len(held[0][0]) > 2 * FLUSH:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["k", "n"])
+                    size = len(held[0][0])
+                    if size > 2 * FLUSH:
+                        yield packed(held.pop())
+                        size = 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed()], names=["k", "n"])
-
-        follow = learned.mapInArrow(count_next, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-        stored = F.col("k").bitwiseAND(F.lit(0xFFFFFFFF)) == 0
-        got = follow.where(stored | (F.col("n") >= max(2, math.ceil(p_symbol * tokens)))).toArrow()  # at most 1 / p_context + 1 / p_symbol rows
-        keys, n = got.column("k").to_numpy(), got.column("n").to_numpy().astype(np.float64)
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        total = keys & 0xFFFFFFFF == 0
-        candidates.total = np.ones(len(candidates.keys))
-        candidates.total[keys[total] >> 32] = n[total]
-        candidates.pair_keys, candidates.pair_counts = keys[~total] - 1, n[~total]
-        close_level(tree, candidates, min_divergence)
-        tree.levels.append(candidates)
-        longer = (candidates.pair_counts >= max(2, p_context * tokens)) & ((candidates.pair_keys & 0xFFFFFFFF) != tree.words[END])
-        grown = candidates.pair_keys[longer]
-        candidates = Level(grown, np.zeros(len(grown)), symbols=[(*candidates.symbols[k >> 32], k & 0xFFFFFFFF) for k in grown.tolist()])
-    return tree, vocabulary
+                yield packed(summed())
+
+        def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key = gram_key(*(batch.column(c).to_numpy().view(np.uint64) for c in (0, 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], names=["key", *batch.schema.names])
+
+        counted = learned.mapInArrow(count_next, "prefix long, suffix long, n long").groupBy("prefix", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= least_symbol)
+        counted = kept(counted.mapInArrow(with_key, "key long, prefix long, suffix long, n long"), "pst-counted")
+        totals = matched(counted, "prefix", contexts.select(F.col("key").alias("prefix"), "n", F.col("n").alias("total")), tree.hot)
+        totals = kept(totals, "pst-totals")
+        discard(counted)
+        pairs = kept(matched(totals, "suffix", stored.select(F.col("key").alias("suffix"), "n", F.col("q").alias("shorter")), tree.hot).drop("suffix"), "pst-pairs")
+        discard(totals)
+
+        # a context is kept if the Kullback-Leibler divergence (nats) of its stored next symbols, and of the rest as one
+        # event, from what the longest kept suffix gives is min_divergence or more; the divergence is weighed against
+        # chance: stored symbols / (2 * count) nats are expected without any
+        share = F.col("n") / F.col("total")
+        sums = pairs.groupBy("prefix").agg(
+            F.max("total").alias("n"),
+            F.sum((F.col("n") - DISCOUNT) / F.col("total")).alias("taken"),
+            F.sum(share).alias("inside"),
+            F.sum("n").alias("seen"),
+            F.sum("shorter").alias("outside"),
+            F.sum(share * F.ln(share / F.col("shorter"))).alias("gain"),
+            F.count("*").alias("symbols"),
+        )
+        rest = F.greatest(1 - F.col("inside"), F.lit(0.0))
+        others = F.when((F.col("seen") < F.col("n")) & (rest > 0), rest * F.ln(rest / F.greatest(1 - F.col("outside"), F.lit(1e-12)))).otherwise(0.0)
+        divergence = F.col("gain") + others - F.col("symbols") / (2 * F.col("n"))
+        tested = kept(sums.select("prefix", "n", (1 - F.col("taken")).alias("back_off"), (divergence >= min_divergence).alias("kept")), "pst-contexts")
+
+        judged = matched(pairs, "prefix", tested, tree.hot)
+        own = (F.col("n") - DISCOUNT) / F.col("total") + F.col("back_off") * F.col("shorter")
+        judged = judged.select("key", "n", F.when(F.col("kept"), own).otherwise(F.col("shorter")).alias("q"), F.when(F.col("kept"), F.log10(own / (F.col("back_off") * F.col("shorter")))).alias("value"))
+        stored = kept(judged, "pst-stored")
+        discard(pairs)
+        values = values.union(stored.where("value is not null").select("key", "n", "value"))
+        values = values.union(tested.where("kept").select("prefix", "n", F.log10("back_off")))
+        contexts = stored.select("key", "n").where(F.col("n") >= least_context)
+    tree.table = kept(values.groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value")), "pst-values")
+    first = tree.table.where(F.col("key") == signed(symbol_key(START))).first()
+    tree.start = first["value"] if first else 0.0
+    return tree
 
 
 def score_documents(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
     """Learn from the documents outside fold 0 and score them all: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score (unigrams) and score (the tree), both as log10 of the text's probability.
 
-    A task scores what the broadcast model knows and sends one row for each distinct rare word of a text, which a join
-    with the table of words completes; a rare word has less than p_root of all tokens, so no key of that join is hot,
-    and a text's own row has a key of its own.  Defined cases: a null or empty text is just an end; a null doc_id
-    counts as held out; repeated ids and rows are scored each; with nothing to learn from every symbol is unknown, with
-    probability 1; other columns are ignored."""
+    A task adds up what the broadcast rows of the tree give and sends one row for each other n-gram of a text that may
+    be in the tree, which a join with the tree completes; such an n-gram has less than p_root of all positions, so no
+    key of that join is hot.  Defined cases: a null or empty text is just an end; a null doc_id counts as held out;
+    repeated ids and rows are scored each; with nothing to learn from every symbol is unknown, with probability 1;
+    other columns are ignored."""
     held = fold(docs[id_col], folds) == 0
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), held.alias("held"), docs[text_col].cast("string").alias("text"))
-    tree, vocabulary = train(rows.select("held", "text"), **training)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(tree)
-    least = tree.counts.min() if len(tree.counts) else math.inf
+    tree = train(rows.select("held", "text"), **training)
+    order = training.get("depth", 3) + 1
+    is_word = F.col("key").bitwiseAND(F.lit(1)) == 1
+    hot = tree.table.where(F.col("n") >= tree.hot).select("key", "n", "value").orderBy("key").toArrow()  # at most 1 / p_root rows of each order
+    rare = tree.table.where(F.col("n") < tree.hot)
+    weight = tree.tokens + 0.1 * (tree.distinct + 1)
+    shared = docs.sparkSession.sparkContext.broadcast((*(hot.column(c).to_numpy() for c in ("key", "n", "value")), bitmap(rare.where(~is_word), "key"), tree.start))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, task, done = shared.value, TaskContext.get().partitionId(), 0
+        (keys, counts, values, bits, start), task, done, known = shared.value, TaskContext.get().partitionId(), 0, Keys()
+
+        def find(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Which keys are hot, and the place of each."""
+            wanted = wanted.view(np.int64)
+            if not len(keys):
+                return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return keys[at] == wanted, at
+
         for batch, texts in texts_in(batches):
-            ids, place = model.ids(texts)
-            logs = np.log10(model.probabilities(ids, place))
-            base = np.where(ids >= 0, model.base(np.append(model.counts, 0)[ids]), 0.0)
-            sizes = np.array([len(t) for t in texts])
-            ends = np.cumsum(sizes)
-            starts = ends - sizes
-            rare = np.flatnonzero(ids < 0)
-            of = np.searchsorted(ends, rare, side="right")
-            flat = [w for t in texts for w in t]
-            pairs = Counter(zip(of.tolist(), [flat[i] for i in rare.tolist()], strict=True))
-            rid = (task << 40) + done + np.arange(len(texts))
-            done += len(texts)
-            add = lambda x: np.add.reduceat(x, starts)  # noqa: E731  every text has an end, so none is empty
-            n, k = len(texts), len(pairs)
-            own = [f" {r}".encode() for r in rid.tolist()]  # no word begins with a space
-            nothing = pa.nulls
+            n = len(texts)
+            sizes = np.array([len(t) for t in texts], np.int64)
+            of = np.repeat(np.arange(n), sizes + 1)
+            log, base, sure = np.full(n, start), np.zeros(n), np.zeros(n, np.int64)
+            sent_of, sent_keys = [], []
+            for k, (key, _, _, at) in enumerate(grams(known, texts, order)):
+                text = of[at]
+                here, place = find(key)
+                log += np.bincount(text[here], values[place[here]], n)
+                if k == 0:
+                    base += np.bincount(text[here], np.log10((counts[place[here]] + 0.1) / weight), n)
+                    sure += np.bincount(text[here], minlength=n)
+                else:
+                    here |= ~within(bits, key)
+                sent_of.append(text[~here])
+                sent_keys.append(key[~here].view(np.int64))
+            whose, key = np.concatenate(sent_of), np.concatenate(sent_keys)
+            ordered = np.lexsort((key, whose))
+            whose, key = whose[ordered], key[ordered]
+            new = np.flatnonzero(np.append(True, (whose[1:] != whose[:-1]) | (key[1:] != key[:-1])))[: len(whose)]
+            times = np.diff(np.append(new, len(whose)))
+            rid = (task << 40) + done + np.arange(n)
+            done += n
+            m, nothing = len(new), pa.nulls
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([rid, rid[[t for t, _ in pairs]] if k else rid[:0]])),
-                    pa.array(own + [w for _, w in pairs], pa.binary()),
-                    pa.array(np.concatenate([np.zeros(n, np.int64), np.fromiter(pairs.values(), np.int64, k)])),
-                    pa.concat_arrays([batch.column(0), nothing(k, pa.int64())]),
-                    pa.concat_arrays([batch.column(1), nothing(k, pa.bool_())]),
-                    pa.concat_arrays([pa.array(sizes.astype(np.int64)), nothing(k, pa.int64())]),
-                    pa.array(np.concatenate([add((ids >= 0).astype(np.int64)), np.zeros(k, np.int64)])),
-                    pa.array(np.concatenate([add(base), np.zeros(k)])),
-                    pa.array(np.concatenate([add(logs), np.zeros(k)])),
+                    pa.array(np.concatenate([rid, rid[whose[new]]])),
+                    pa.concat_arrays([nothing(n, pa.int64()), pa.array(key[new])]),
+                    pa.concat_arrays([nothing(n, pa.int64()), pa.array(times.astype(np.int64))]),
+                    pa.concat_arrays([batch.column(0), nothing(m, pa.int64())]),
+                    pa.concat_arrays([batch.column(1), nothing(m, pa.bool_())]),
+                    *[pa.concat_arrays([pa.array(x), nothing(m, pa.array(x).type)]) for x in (sizes, sure, base, log)],
                 ],
-                names=["rid", "word", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "log"],
+                names=["rid", "key", "times", "doc_id", "held_out", "n_tokens", "known", "base", "log"],
             )
 
-    parts = rows.mapInArrow(score, "rid long, word binary, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, log double")
-    rare = vocabulary.where(F.col("c") < least) if len(tree.counts) else vocabulary
-    joined = parts.join(rare.hint("merge"), "word", "left")
-    c = F.coalesce("c", F.lit(0))
+    parts = rows.mapInArrow(score, "rid long, key long, times long, doc_id long, held_out boolean, n_tokens long, known long, base double, log double")
+    parts = kept(parts, "pst-parts")
+    joined = parts.where("key is not null").select("rid", "key", "times").join(rare.hint("merge"), "key", "left")
+    c = F.coalesce("n", F.lit(0))
     times = F.col("times")
-    if tree.tokens:
-        root = F.log10(F.when(c > 0, c - tree.discount).otherwise(tree.discount * tree.distinct) / F.lit(float(tree.tokens)))
-    else:
-        root = F.lit(0.0)
-    base = F.log10((c + 0.1) / F.lit(tree.tokens + 0.1 * (tree.distinct + 1)))
+    unknown = F.log10(tree.root(F.lit(0)))
     each = joined.select(
         "rid",
+        F.when(is_word & (c > 0), times).otherwise(0).alias("more"),
+        F.when(is_word, times * F.log10((c + 0.1) / F.lit(weight))).otherwise(0.0).alias("base_more"),
+        (times * F.coalesce("value", F.when(is_word, unknown).otherwise(0.0))).alias("log_more"),
+    )
+    total = each.groupBy("rid").agg(F.sum("more").alias("more"), F.sum("base_more").alias("base_more"), F.sum("log_more").alias("log_more"))
+    out = parts.where("key is null").drop("key", "times").join(total.hint("merge"), "rid", "left")
+    return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.when(c > 0, times).otherwise(0)).alias("known"),
-        (F.col("base") + F.when(times > 0, times * base).otherwise(0.0)).alias("base"),
-        (F.col("log") + F.when(times > 0, times * root).otherwise(0.0)).alias("log"),
-    )
-    total = each.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").cast("long").alias("n_known"), F.sum("base").alias("base_score"), F.sum("log").alias("score")
+        (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
+        F.lit(int(tree.tokens)).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"),
+        (F.col("log") + F.coalesce("log_more", F.lit(0.0))).alias("score"),
     )
-    return total.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(tree.tokens)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -170,6 +170,28 @@ def test_suffix_tree_matches_plain_version(spark):
         assert sum(prob(c, w) for w in counts) + prob(c, b"never seen") == pytest.approx(1)
 
 
+def test_suffix_tree_keeps_what_recurs_in_a_larger_corpus(spark):
+    """Contexts that recur a dozen times stay, whatever share of all positions that is; all of it against plain counts."""
+    import random
+
+    r = random.Random(9)
+    rows = [" ".join(f"w{r.randint(0, 1999)}" for _ in range(300)) for _ in range(600)]
+    for i in range(0, 600, 40):
+        rows[i] += " kind of blue note"
+    rows.append("kind of blue note")
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    tokens = {i: [*t.encode().split(), b""] for i, t in enumerate(rows)}
+    learned = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 10]
+    n = sum(map(len, learned))
+    often = sum(b"kind" in t for t in learned)
+    assert 10 <= often < 1e-4 * n
+    prob, _, _, _, kept, _ = brute_tree(learned, 3, 0, 9.5 / n, 0, 0.01)
+    assert {(b"kind",), (b"kind", b"of"), (b"kind", b"of", b"blue")} & set(kept)
+    for row in suffix_tree.score_documents(df).collect():
+        t = tokens[row["doc_id"]]
+        assert row["score"] == pytest.approx(sum(math.log10(prob(tuple(["^", *t][max(0, i - 2) : i + 1]), w)) for i, w in enumerate(t)))
+
+
 def test_suffix_tree_on_odd_and_empty(odd, none):
     got = suffix_tree.score_documents(odd).collect()
     assert len(got) == odd.count() and all(math.isfinite(r["score"]) and r["n_tokens"] >= 1 for r in got)
