@@ -41,6 +41,12 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), mos
     return ranked.withColumn("target", F.least(F.lit(level) * F.col("weight"), cap)), {"total": total, "level": level}
 
 
+def what_mix_sees(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """doc_id, source and size of each row."""
+    size = F.coalesce(F.size(F.array_remove(F.split(docs[text_col], GAP), "")), F.lit(0)).cast("long")
+    return [docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), size.alias("size")]
+
+
 def mix(docs: DataFrame, block: int = 64, shard_slots: int = 4096, seed: int = 20, most: int = 3, weights: tuple[int, ...] = (5, 2, 1), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """Mix all documents to target weights.  Returns (documents, slots).
 
@@ -57,8 +63,7 @@ def mix(docs: DataFrame, block: int = 64, shard_slots: int = 4096, seed: int = 2
     source, last; null doc_ids are kept; a repeated row is a document of its own; an empty table gives empty tables;
     other columns are ignored.
     """
-    text = docs[text_col]
-    raw = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), F.coalesce(F.size(F.array_remove(F.split(text, GAP), "")), F.lit(0)).cast("long").alias("size"))
+    raw = docs.select(*what_mix_sees(docs, id_col, text_col, source_col))
     rows = materialize(raw.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m")), "mix-rows")
     sums = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).cast("long").alias("source_size"))
     targets, _ = source_targets(sums, weights, float(most))
@@ -105,14 +110,17 @@ def mix(docs: DataFrame, block: int = 64, shard_slots: int = 4096, seed: int = 2
     return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), slots
 
 
-def mixed_documents(docs: DataFrame, seed: int = 20, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix as whole documents, with the columns of docs: a document of which the mix takes t words of n comes
     t / n times, a fraction being rounded by a draw from its id, so sources keep near their targets and no document
-    comes more than three times."""
-    taken, _ = mix(docs, seed=seed, id_col=id_col, **options)
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    copies = taken.where("size > 0").select("doc_id", F.floor(F.col("taken") / F.col("size") + draw).alias("_copies")).where("_copies > 0")
-    copies = copies.groupBy("doc_id").agg(F.max("_copies").alias("_copies")).withColumnRenamed("doc_id", "_mix_id")
-    joined = docs.join(copies, docs[id_col] == F.col("_mix_id"))
-    names = [docs[c] for c in docs.columns]
-    return joined.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")
+    comes more than three times.  Rows that mix() cannot tell apart (equal doc_id, null too, source and size) share
+    what it takes of them evenly, with a draw for each row."""
+    taken, _ = mix(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    shares = taken.where("size > 0").groupBy("doc_id", "source", "size").agg((F.sum("taken") / (F.count("*") * F.col("size"))).alias("share"), F.count("*").alias("m")).where("share > 0")
+    shares = shares.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "share", "m")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *what_mix_sees(docs, id_col, text_col, source_col), F.monotonically_increasing_id().alias("_n"))
+    joined = rows.join(shares, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
+    at = F.when(F.col("m") == 1, F.xxhash64(F.lit(seed), F.col("doc_id"))).otherwise(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_n")))
+    draw = F.pmod(at, F.lit(1_000_003)) / F.lit(1_000_003.0)
+    copies = joined.select("_row", F.floor(F.col("share") + draw).alias("_copies")).where("_copies > 0")
+    return copies.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")

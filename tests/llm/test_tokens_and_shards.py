@@ -204,6 +204,27 @@ def test_mix_of_nothing(none, odd):
     assert mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_mixed_documents_keep_rows_without_or_with_repeated_ids(spark):
+    """Rows without a doc_id come as often as the mix takes them, and rows that share one each by their own share."""
+    schema = "doc_id long, text string, source string, note int"
+    rows = [(i, prose(i, 40 + i % 7), "a", i) for i in range(60)]
+    none = [(None, prose(1000 + i, 40 + i % 7), "b", 1000 + i) for i in range(60)]
+    same = [(5000, prose(2000 + i, 40 + i), "c", 2000 + i) for i in range(60)]
+    df = spark.createDataFrame(rows + none + same, schema).repartition(3).cache()
+    taken = Counter()
+    for r in mixing.mix(df)[0].collect():
+        taken[r["source"]] += r["taken"]
+    assert taken["b"] > 0 and taken["c"] > 0
+    got = mixing.mixed_documents(df).collect()
+    words = Counter()
+    for r in got:
+        words[r["source"]] += len(r["text"].split())
+    assert {tuple(r) for r in got} <= {*rows, *none, *same}
+    # rounding alone moves the words of 60 documents by a fifth or so
+    assert all(0.5 * taken[s] < words[s] < 2 * taken[s] for s in "abc"), (words, taken)
+    assert max(Counter(r["note"] for r in got).values()) <= 3
+
+
 # op9
 
 
