@@ -108,7 +108,7 @@ def draw(bags: list, group: list[int], horizon: np.ndarray, out: np.ndarray) ->
 
 def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """(bags, bands) 64-bit keys, one for each band of each signature, different for different bands."""
-    bits = signature.view(np.uint64).reshape(len(signature), -1, rows)
+    bits = signature.view(np.uint64).reshape(len(signature), signature.shape[1] // rows, rows)
     key = np.broadcast_to(np.arange(bits.shape[1], dtype=np.uint64), bits.shape[:2]).copy()
     for r in range(rows):
         key = mixed64(key ^ bits[:, :, r], 30)

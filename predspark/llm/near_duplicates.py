@@ -151,13 +151,14 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK
         for batch in batches:
             texts, digests = batch.column("text").to_pylist(), batch.column("h").to_pylist()
             seen: set[bytes] = set()
+            none: set[bytes] = set()  # digests of texts without words, of the whole batch like seen
             for part in slices([t or "" for t in texts], 8_000_000):
                 first = [i for i in range(*part.indices(len(texts))) if texts[i] is not None and not (digests[i] in seen or seen.add(digests[i]))]
                 bags = shingler.bags([texts[i] for i in first])
                 signed = signatures(bags)
                 keys, marks = bands(signed), (signed.view(np.uint64) >> np.uint64(3)).astype(np.uint8)
                 key_of = {i: (keys[k].tolist(), marks[k].tobytes()) for k, i in enumerate(first) if len(bags[k][0])}
-                none = {digests[i] for k, i in enumerate(first) if not len(bags[k][0])}
+                none.update(digests[i] for k, i in enumerate(first) if not len(bags[k][0]))
                 own = range(*part.indices(len(texts)))
                 yield pa.RecordBatch.from_arrays(
                     [

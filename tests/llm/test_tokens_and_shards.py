@@ -134,6 +134,15 @@ def test_classes_of_odd_documents(odd, none):
     assert sorted(i for i in ids if i is not None) == sorted({c for d, c, _ in want if c is not None})
 
 
+def test_wordless_documents_of_later_slices_are_single(spark, monkeypatch):
+    """A batch is looked at in slices; a text without words that was in an earlier slice is still in no class."""
+    monkeypatch.setattr(near_duplicates, "slices", lambda texts, most: bpe.slices(texts, 100))
+    texts = ["", prose(1), "", " \t", prose(2), " \t", prose(1), ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = sorted(tuple(r) for r in near_duplicates.near_duplicates(df).collect())
+    assert got == [(0, 0, 1), (1, 1, 2), (2, 2, 1), (3, 3, 1), (4, 4, 1), (5, 5, 1), (6, 1, 2), (7, 7, 1)]
+
+
 # op7
 
 
