@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .bag_minhash import Shingler, bands, signatures, weighted_jaccard
 from .bpe import slices
-from .common import materialize
+from .common import WORD, materialize
 
 BLOCK = 512
 #: Components of 128 that must agree before a pair is looked at more closely: at a similarity of 0.8 fewer agree once
@@ -133,16 +133,9 @@ def agreeing(marks: np.ndarray, own: np.ndarray, i: int, j: int, least: int) ->
 EDGE = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK, agree: int = AGREE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, class_id (the least doc_id of its class) and class_size (documents).
-
-    A class is a connected component of documents by links: equal texts, or bags of 5-word shingles (words as they
-    are, a shorter text is one shingle) with a weighted Jaccard similarity of `similarity` or more.  A link is lost
-    only where signatures fail a pair, about one in five million at 0.8 and far fewer above.  agree goes with 0.8: it
-    must be lowered with similarity.  Defined cases: a document without words (null, empty) is in no class: its
-    class_id is its own doc_id and class_size 1; null doc_ids take part and count, but are never a class_id unless the
-    class has no other; repeated rows are copies of each other; an empty table gives an empty result; other columns
-    are ignored."""
+def labelled_documents(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK, agree: int = AGREE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: doc_id, h (the digest of its text) and label (the same in a class); h and label are
+    null for a document without words."""
     text = docs[text_col].cast("string")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("h"), text.alias("text"))
 
@@ -234,20 +227,37 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK
     links = by_group(in_block_pairs(bagged, ["cluster"], "h", "size", block), ["cluster", "i", "j"], cluster, ["marks", "bands", "shingles", "weights"])
     classes = components(links, "near-classes")
 
-    # 3. classes of documents
-    labelled = signed.select("doc_id", "h").join(classes.withColumnRenamed("node", "h"), "h", "left").select("doc_id", F.coalesce("label", "h").alias("label"))
+    return signed.select("doc_id", "h").join(classes.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "h", F.coalesce("label", "h").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK, agree: int = AGREE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: doc_id, class_id (the least doc_id of its class) and class_size (documents).
+
+    A class is a connected component of documents by links: equal texts, or bags of 5-word shingles (words as they
+    are, a shorter text is one shingle) with a weighted Jaccard similarity of `similarity` or more.  A link is lost
+    only where signatures fail a pair, about one in five million at 0.8 and far fewer above.  agree goes with 0.8: it
+    must be lowered with similarity.  Defined cases: a document without words (null, empty) is in no class: its
+    class_id is its own doc_id and class_size 1; null doc_ids take part and count, but are never a class_id unless the
+    class has no other; repeated rows are copies of each other; an empty table gives an empty result; other columns
+    are ignored."""
+    labelled = labelled_documents(docs, similarity, block, agree, id_col, text_col)
     named = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     grouped = labelled.where("label is not null").join(named.hint("merge"), "label").select("doc_id", "class_id", "class_size")
     return grouped.union(labelled.where("label is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents of docs without the near copies of others: of each class the row with the least doc_id, and one
-    only where rows share that doc_id.  Rows with a null doc_id cannot be told apart and are kept."""
-    found = near_duplicates(docs, id_col=id_col, **options)
-    kept = found.where(F.col("doc_id") == F.col("class_id")).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
-    kept = materialize(kept, "near-kept")
-    joined = docs.join(kept, docs[id_col] == F.col("_id"))
-    once = joined.where("_rows = 1").select(*[docs[c] for c in docs.columns])
-    more = joined.where("_rows > 1").select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), "_id").groupBy("_id").agg(F.first("_row").alias("_row")).select("_row.*")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents of docs without the near copies of others: of each class one row, with the least doc_id and of
+    those the least digest of the text.  Rows without words are in no class; of those with one doc_id and one text one
+    stays.  Rows with a null doc_id cannot be told apart and are kept."""
+    labelled = labelled_documents(docs, id_col=id_col, text_col=text_col, **options)
+    copies = labelled.where("label is not null and doc_id is not null").groupBy("label", "doc_id", "h").agg(F.count("*").alias("_rows"))
+    least = copies.groupBy("label").agg(F.min(F.struct("doc_id", "h", "_rows")).alias("_one"))
+    kept = materialize(least.select(F.col("_one.doc_id").alias("_id"), F.col("_one.h").alias("_h"), F.col("_one._rows").alias("_rows")), "near-kept")
+    text = docs[text_col].cast("string")
+    rows = docs.where(docs[id_col].isNotNull()).select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].cast("long").alias("_doc"), F.unhex(F.md5(text.cast("binary"))).alias("_digest"), F.coalesce(text.rlike(WORD), F.lit(False)).alias("_words"))
+    joined = rows.where("_words").join(kept, (F.col("_doc") == F.col("_id")) & (F.col("_digest") == F.col("_h")))
+    once = joined.where("_rows = 1").select("_row.*")
+    several = joined.where("_rows > 1").select("_doc", "_digest", "_row").union(rows.where("not _words").select("_doc", "_digest", "_row"))
+    more = several.groupBy("_doc", "_digest").agg(F.first("_row").alias("_row")).select("_row.*")
     return once.union(more).union(docs.where(docs[id_col].isNull()))
