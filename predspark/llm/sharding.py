@@ -81,9 +81,15 @@ def best_fit_decreasing(items: list[tuple[str, int]], capacity: int, most: int |
 
 
 def pack_into(items: list[tuple[str, int]], shards: int, steps: int = 14) -> dict[str, int]:
-    """The least capacity, to a ten-thousandth, at which best-fit-decreasing needs no more than `shards` bins."""
+    """Items above an even share of what is left, largest first, get a bin each; the others get the least capacity, to
+    a ten-thousandth, at which best-fit-decreasing needs no more than the bins that are left."""
+    items, left, alone = sorted(items, key=lambda x: (-x[1], x[0])), sum(s for _, s in items), {}
+    while len(alone) < len(items) and items[len(alone)][1] * (shards - len(alone)) > left:
+        left -= items[len(alone)][1]
+        alone[items[len(alone)][0]] = len(alone)
+    items, shards = items[len(alone) :], shards - len(alone)
     if not items:
-        return {}
+        return alone
     total, largest = sum(s for _, s in items), max(s for _, s in items)
     low = max(-(-total // shards), largest)
     best, high = best_fit_decreasing(items, low, shards), low
@@ -100,7 +106,7 @@ def pack_into(items: list[tuple[str, int]], shards: int, steps: int = 14) -> dic
             low = middle
         else:
             best, high = found, middle
-    return best
+    return alone | {name: len(alone) + b for name, b in best.items()}
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, grain: int = 256, cell: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

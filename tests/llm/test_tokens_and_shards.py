@@ -317,5 +317,20 @@ def test_shards(odd, docs, grain, cell):
             assert max(load.values()) <= 1.05 * sum(load.values()) / 16
 
 
+@pytest.mark.parametrize("hot", [(0.1,), (0.34,), (0.3, 0.2, 0.07)])
+def test_shards_beside_a_hot_group_are_near_equal(hot):
+    r = random.Random(7)
+    small = [(f"p{i}", r.randint(900, 1100)) for i in range(4096)]
+    rest = sum(s for _, s in small)
+    large = [(f"g{i}", int(rest / (1 - sum(hot)) * x)) for i, x in enumerate(hot)]
+    load = [0] * 16
+    placed = sharding.pack_into(large + small, 16)
+    assert len(placed) == len(large) + len(small)
+    for name, size in large + small:
+        load[placed[name]] += size
+    others = sorted(load)[: 16 - len(hot)]
+    assert max(others) <= 1.01 * rest / len(others) and min(others) >= 0.9 * rest / len(others)
+
+
 def test_no_documents_no_shards(none):
     assert sharding.shard_documents(none).count() == 0
