@@ -23,8 +23,7 @@ _classes = re.compile(r"([^\W\d_a-zß-öø-ÿ]+)|([^\W\d_]+)|(\d+)|((.)\5*)", re
 
 def shape(word: str) -> str:
     """How a word is written: runs of capitals X, other letters x, digits 0, and other characters as they are."""
-    runs = ["X" if m[1] else "x" if m[2] else "0" if m[3] else m[4][:2] for m in _classes.finditer(word[:64])]
-    return "".join(runs[:8])
+    return "".join("X" if m[1] else "x" if m[2] else "0" if m[3] else m[4][:2] for m in _classes.finditer(word))
 
 
 def h64(kind: str, text: str) -> int:

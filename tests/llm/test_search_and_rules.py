@@ -224,6 +224,12 @@ def test_classifier_on_odd_and_empty(spark, odd, none):
     assert quality_classifier.keep_good(odd, labels).columns == odd.columns
 
 
+def test_shapes_cover_whole_words():
+    assert quality_classifier.shape("x" * 64 + "7") != quality_classifier.shape("x" * 64)
+    assert quality_classifier.shape("a1" * 4 + "B") != quality_classifier.shape("a1" * 4 + "-")
+    assert quality_classifier.shape("Cat7!!!") == "Xx0!!"
+
+
 def test_scores_are_sparse_dot_products():
     features, w = quality_classifier.Features(), np.random.default_rng(0).normal(size=quality_classifier.BUCKETS)
     texts = ["", "one", "The cat THE cat!! the***", "a b " * 50]
