@@ -69,8 +69,18 @@ def expand(df: DataFrame, count: Column, index: str, chunk: int = 65536) -> Data
     return pieces.withColumn(index, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + chunk, F.col("_count")) - 1))).drop("_count", "_from")
 
 
+def matched(rows: DataFrame, key: str, table: DataFrame, hot: float) -> DataFrame:
+    """Inner join with table (key, n, ...), of which rows with n >= hot, of a bounded number, are broadcast: n bounds
+    the rows that share a key."""
+    large = table.where(F.col("n") >= hot).drop("n")
+    small = table.where(F.col("n") < hot).drop("n")
+    near = rows.join(F.broadcast(large), key)
+    far = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(small.hint("shuffle_hash"), key)
+    return near.unionByName(far)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["GAP", "WORD", "expand", "global_prefix", "materialize", "shared_path", "shared_root", "ship_package", "table"]
+__all__ = ["GAP", "WORD", "expand", "global_prefix", "matched", "materialize", "shared_path", "shared_root", "ship_package", "table"]
