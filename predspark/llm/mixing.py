@@ -47,17 +47,39 @@ def what_mix_sees(docs: DataFrame, id_col: str, text_col: str, source_col: str)
     return [docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), size.alias("size")]
 
 
+def draw_counts(planned: DataFrame, all_slots: int, shard_slots: int, seed: int) -> DataFrame:
+    """How many slots of each output shard a source gets: planned has sid, blocks, slots and first_slot.
+
+    The labels of all slots are permuted and cut into shards of shard_slots; a shard's counts are thereby a multinomial
+    draw without replacement, so those of a source add up to its slots.  Returns sid, blocks, shard, count and first:
+    the source's slots in all shards before.  Summed in two levels, so that no task sees all shards of a source."""
+    # a number of partitions: by their estimated size, which an explode does not raise, Spark would run all in one task
+    chunk = 16384
+    starts = planned.where("slots > 0").withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(chunk).cast("long"))))
+    starts = starts.select("sid", "blocks", "slots", "first_slot", "from").repartition(int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "from")
+    labels = starts.withColumn("label", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + chunk, F.col("slots")) - 1)))
+    place = permuted(F.col("first_slot") + F.col("label"), F.lit(all_slots).cast("long"), seed)
+    counts = labels.select("sid", "blocks", F.floor(place / shard_slots).alias("shard")).groupBy("sid", "blocks", "shard").agg(F.count("*").alias("count"))
+    counts = materialize(counts.withColumn("run", F.floor(F.col("shard") / 1024)), "mix-draws")
+    before = Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = counts.groupBy("sid", "run").agg(F.sum("count").alias("count")).select("sid", "run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("sid", "run").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("inner", F.coalesce(F.sum("count").over(within), F.lit(0)))
+    return counts.join(runs, ["sid", "run"]).select("sid", "blocks", "shard", "count", (F.col("base") + F.col("inner")).alias("first"))
+
+
 def mix(docs: DataFrame, block: int = 64, shard_slots: int = 4096, seed: int = 20, most: int = 3, weights: tuple[int, ...] = (5, 2, 1), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """Mix all documents to target weights.  Returns (documents, slots).
 
     The words of a source, its documents laid end to end, are packed into blocks of `block` words.  The output is a
-    row of shards with `shard_slots` slots each.  Slot counts of a source over the shards are multinomial draws under
-    the condition that they add up to the source's target (so that each target is met to half a block and no document
-    can pass `most` times its size): a permutation of all slots deals the labels.  The j-th slot of a source takes
-    block p(j mod K) of its K blocks, p a permutation that is drawn anew for each pass over the source, so the passes
-    differ in order and none repeats a block.  Documents get their words by a join on (source, block).
-
-    documents: doc_id, size, source, source_size, target, taken.  slots: sid, j, shard, position, block.
+    row of shards with `shard_slots` slots each.  For each shard the slots of each source are drawn: multinomial counts
+    under the condition that a source's counts add up to its target (so that each target is met to half a block and no
+    document can pass `most` times its size).  A shard's slots of a source are the source's slots first, first + 1, ...;
+    slot j of a source takes block p(j mod K) of its K blocks, p a permutation that is drawn anew for each pass over the
+    source, so the passes differ in order and none repeats a block.  Documents get their words from the shards' slots
+    by a join on (source, block).
+
+    documents: doc_id, size, source, source_size, target, taken.  slots: sid, shard, j, block.
     Running sums are taken in two levels (hash buckets of about sqrt(rows) rows, then bucket totals), so a source with
     a third of all rows is spread over many tasks.  Defined cases: null text has size 0 and takes 0; null source is a
     source, last; null doc_ids are kept; a repeated row is a document of its own; an empty table gives empty tables;
@@ -73,20 +95,11 @@ def mix(docs: DataFrame, block: int = 64, shard_slots: int = 4096, seed: int = 2
     planned = materialize(global_prefix(planned, [F.col("sid")], {"first_slot": "slots"}, "_rank", "mix-plan").drop("_rank"), "mix-planned")
     all_slots = planned.agg(F.sum("slots")).first()[0] or 0
 
-    # a number of partitions and merge hints: by their estimated size, which an explode does not raise, Spark would run
-    # all slots in one task and broadcast them
-    chunk = 16384
-    starts = planned.where("slots > 0").withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(chunk).cast("long"))))
-    starts = starts.select("sid", "blocks", "slots", "first_slot", "from").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "from")
-    slots = starts.withColumn("j", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + chunk, F.col("slots")) - 1)))
-    place = permuted(F.col("first_slot") + F.col("j"), F.lit(all_slots).cast("long"), seed)
-    slots = slots.select(
-        "sid",
-        "j",
-        place.alias("place"),
-        permuted(F.pmod(F.col("j"), F.col("blocks")), F.col("blocks"), seed + 2, F.col("sid"), F.floor(F.col("j") / F.col("blocks"))).alias("block"),
-    )
-    slots = slots.select("sid", "j", F.floor(F.col("place") / shard_slots).alias("shard"), F.pmod("place", F.lit(shard_slots)).alias("position"), "block")
+    draws = draw_counts(planned, all_slots, shard_slots, seed)
+    shard_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = draws.repartition(shard_parts, "shard", "sid").withColumn("j", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
+    passed = F.floor(F.col("j") / F.col("blocks"))
+    slots = slots.select("sid", "shard", "j", permuted(F.pmod(F.col("j"), F.col("blocks")), F.col("blocks"), seed + 2, F.col("sid"), passed).alias("block"))
     drawn = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
 
     # where each document lies among the words of its source
