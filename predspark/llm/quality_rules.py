@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, words
+from .common import matched, materialize, words
 
 SPAN = 8
 
@@ -57,31 +57,60 @@ def host_rates(judged: DataFrame, max_strength: float = 10_000.0) -> DataFrame:
     return hosts.select("host", "host_docs", "host_failed", ((F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))).alias("host_rate"))
 
 
+#: Hosts are broadcast whole up to so many rows and bytes of names.
+MOST_HOSTS, MOST_HOST_BYTES = 500_000, 32_000_000
+
+
+def small_enough(hosts: DataFrame) -> bool:
+    rows, size = hosts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("host")), F.lit(0))).first()
+    return rows <= MOST_HOSTS and size <= MOST_HOST_BYTES
+
+
 def apply_quality_rules(docs: DataFrame, max_host_rate: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Judge every document by its own counts and by its host: rejected if it fails the base rules, or if its host's
     shrunk failure rate is above max_host_rate.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, host, host_rate.
     The counts are written once, so texts are read once and never shuffled; hosts are aggregated before the shuffle
-    and joined back to narrow rows (Spark broadcasts them while they are small and splits hot hosts otherwise).
-    Defined cases: a null or empty text has no words and fails; a document with null host has no host verdict (rate
-    null) and is judged by its own counts; repeated rows are judged each; an empty table gives an empty result."""
-    narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[host_col].cast("string").alias("host"), docs[text_col].alias("_in"))
+    and joined back to narrow rows: broadcast while they are few, else those with many documents are, and no other is
+    a hot key.  Defined cases: a null or empty text has no words and fails; a document with null host has no host
+    verdict (rate null) and is judged by its own counts; repeated rows are judged each; an empty table gives an empty
+    result; other columns are ignored."""
+    narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[host_col].cast("string").alias("host"), docs[text_col].cast("string").alias("_in"))
     judged = text_statistics(narrow, F.col("_in")).drop("_in").withColumn("base_failed", base_failed())
     judged = materialize(judged, "quality-rules")
-    hosts = host_rates(judged).select("host", "host_rate")
+    hosts = materialize(host_rates(judged).select("host", F.col("host_docs").alias("n"), "host_rate"), "quality-hosts")
+    if small_enough(hosts):
+        joined = judged.join(F.broadcast(hosts.drop("n")), "host", "left")
+    else:
+        named = matched(judged.where("host is not null"), "host", hosts, judged.count() / 10_000)
+        joined = named.unionByName(judged.where("host is null").withColumn("host_rate", F.lit(None).cast("double")))
     kept = ~F.col("base_failed") & ~(F.coalesce("host_rate", F.lit(0.0)) > max_host_rate)
-    return judged.join(hosts, "host", "left").withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_rate")
+    return joined.withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_rate")
 
 
 def keep_good(docs: DataFrame, max_host_rate: float = 0.5, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents that the rules keep, with the columns of docs.  Documents that fail by themselves are dropped
-    while the judged rows are written, but counted in their host's rate."""
-    packed = docs.select(F.struct("*").alias("_row"), docs[host_col].cast("string").alias("host"), docs[text_col].alias("_in"))
+    """The documents that the rules keep, with the columns of docs, whatever these are called.
+
+    Documents that fail by themselves are dropped while the judged rows are written, but counted in their host's rate.
+    Rejected hosts are broadcast while they are few, and texts are not shuffled; beyond that those with many documents
+    are, and the rest is joined, without a hot key.  Defined cases: a null or empty text fails; a document with null
+    host is judged by its own counts; repeated rows are judged each and all kept or none; an empty table gives an empty
+    one."""
+    packed = docs.select(F.struct("*").alias("_row"), docs[host_col].cast("string").alias("host"), docs[text_col].cast("string").alias("_in"))
     judged = text_statistics(packed, F.col("_in")).drop("_in").withColumn("base_failed", base_failed())
     judged = materialize(judged.select(F.when(~F.col("base_failed"), F.col("_row")).alias("_row"), "host", "base_failed"), "quality-keep")
-    bad = host_rates(judged).where(F.col("host_rate") > max_host_rate).select("host")
-    return judged.where("not base_failed").join(bad, "host", "left_anti").select("_row.*")
+    bad = materialize(host_rates(judged).where(F.col("host_rate") > max_host_rate).select("host", F.col("host_docs").alias("n")), "quality-hosts")
+    passed = judged.where("not base_failed")
+    if small_enough(bad):
+        passed = passed.join(F.broadcast(bad.select("host")), "host", "left_anti")
+    else:
+        hot = judged.count() / 10_000
+        passed = passed.join(F.broadcast(bad.where(F.col("n") >= hot).select("host")), "host", "left_anti")
+        # a document without a host is in no host's verdict: it need not be dealt with the others
+        named = passed.where("host is not null").join(bad.where(F.col("n") < hot).select("host").hint("shuffle_hash"), "host", "left_anti")
+        passed = named.unionByName(passed.where("host is null"))
+    return passed.select("_row.*")
 
 
 SQL = r"""
