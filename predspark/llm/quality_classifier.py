@@ -119,35 +119,44 @@ def fold(id_column, folds: int):
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, passes: int = 3, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
-    """Weights (BUCKETS of them, then the bias) learned from at most max_rows labelled documents, those with the least
-    hash of the id, outside fold 0.
+    """Weights (BUCKETS of them, then the bias) learned from at most max_rows labelled texts outside fold 0, those with
+    the least hash of the id and then the least digest of the text.
 
-    max_rows bounds what one task learns from, at any size of the tables.  The sample of ids is small and is
-    broadcast, so the documents are scanned once and not shuffled.  Ids with both labels, null ids and null labels are
-    left out; a document that comes twice is learned from twice.  Without any labelled row all weights are 0."""
+    max_rows bounds the rows that one task learns from, at any size of the tables.  The ids and digests of the sample
+    are found first, and broadcast, so that only its texts are turned into vectors and shuffled.  Ids with both labels,
+    null ids and null labels are left out; a text that comes twice under one id is learned from once, each of several
+    texts under one id by itself; a null text is an empty one.  Without any labelled row all weights are 0."""
     known = labels.select(labels[id_col].cast("long").alias("_id"), labels[label_col].cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     known = known.where(fold(F.col("_id"), folds) != 0).groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").select("_id", "_y")
-    sample = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("text"))
-    rows = rows.join(F.broadcast(sample), "_id").select("_id", "_y", "text")
+    labelled = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    rows = docs.select(docs[id_col].cast("long").alias("_id"), text.alias("text")).join(F.broadcast(labelled), "_id").withColumn("_h", F.md5(F.col("text").cast("binary")))
+    sample = rows.select("_id", "_h").distinct().orderBy(F.xxhash64("_id"), "_id", "_h").limit(max_rows)
+    rows = rows.join(F.broadcast(sample), ["_id", "_h"]).select("_id", "_y", "_h", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        features, seen = Features(), set()  # of the sample: at most max_rows
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
+            key = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            new = pa.array([i for i, k in enumerate(key) if not (k in seen or seen.add(k))], pa.int64())
+            batch = batch.take(new)
+            texts = batch.column(3).to_pylist()
             made = [v for part in slices(texts) for v in features.sparse(texts[part])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w.tobytes() for w, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], names=["id", "y", "which", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([w.tobytes() for w, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], names=["id", "y", "h", "which", "x"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, data = FTRL(), []
+        model, data, last = FTRL(), [], None
         for batch in batches:
-            data += [(y, np.frombuffer(w, np.int32), np.frombuffer(x, np.float32)) for y, w, x in zip(*[batch.column(c).to_pylist() for c in ("y", "which", "x")], strict=True)]
+            for i, h, y, w, x in zip(*[batch.column(c).to_pylist() for c in ("id", "h", "y", "which", "x")], strict=True):
+                if (i, h) != last:
+                    data.append((y, np.frombuffer(w, np.int32), np.frombuffer(x, np.float32)))
+                last = (i, h)
         for _ in range(passes):
             for y, which, x in data:
                 model.learn(which, x, y)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())], names=["w"])
 
-    made = rows.mapInArrow(vectors, "id long, y int, which binary, x binary").repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "which")
+    made = rows.mapInArrow(vectors, "id long, y int, h string, which binary, x binary").repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "h")
     got = made.mapInArrow(train, "w binary").first()
     return np.frombuffer(got[0], np.float32).astype(np.float64) if got else np.zeros(BUCKETS + 1)
 
@@ -180,7 +189,14 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fitting) -> DataFrame:
-    """The documents predicted good, with the columns of docs."""
+    """The documents predicted good, with the columns of docs, whatever these are called.
+
+    Defined cases: a null or empty text has the score of the bias alone; rows with null or repeated doc_ids and repeated
+    rows are judged each, by their text; without labels every score is 0.5 and all stay; an empty table gives an empty
+    one."""
     weights = fit(docs, labels, **fitting)
-    kept = with_scores(docs, weights, score="_quality_score").where(F.col("_quality_score") >= threshold)
-    return kept.select(*[kept[c] for c in docs.columns])
+    score = "_quality_score"
+    while score.lower() in {c.lower() for c in docs.columns}:
+        score += "_"
+    kept = with_scores(docs, weights, score=score).where(F.col(score) >= threshold)
+    return kept.drop(score)
