@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -19,8 +18,8 @@ _coarse = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _wide_space = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _beside_space = ["  ", *(f" {c}" for c in "\t\n\v\f\r"), *(f"{c} " for c in "\t\n\v\f\r")]
 
-#: Symbols above which a piece is merged one pair at a time from a heap: rounds would each pass over all of it.
-LONG = 400
+#: Symbols above which a piece has merge rounds of its own, and places in a block of these.
+LONG, BLOCK = 400, 256
 #: Chunks that a worker remembers; it starts anew when there are more.
 REMEMBERED = 300_000
 #: Characters of text that are encoded at a time.
@@ -64,7 +63,6 @@ class ByteBPE:
         # a round may merge all places of a pair at once only if no pair that this makes comes before it
         if any(max(born.get(a, -1), born.get(b, -1)) >= rank for rank, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True))):
             raise ValueError("merges are not listed after the merges that make their parts")
-        self.merge = dict(zip(keys.tolist(), zip(range(len(pairs)), made.tolist(), strict=True), strict=True))
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         back = {c: b for b, c in enumerate(alphabet)}
@@ -79,32 +77,50 @@ class ByteBPE:
         self.known: dict[str, int] = {}
         self.flat, self.at, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _merge_long(self, symbols: list[int]) -> list[int]:
-        """Lowest rank first, leftmost first, over a linked list."""
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair of symbols, self.none for pairs that do not merge, and what they make."""
+        pair = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.ranks[at], self.none), self.made[at]
+
+    def _merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """The merge rounds of one long piece, over linked symbols, so that a round touches only what it merges.  The
+        lowest rank is found from the least of each block of BLOCK places."""
         n = len(symbols)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(m[0], i) for i in range(n - 1) if (m := self.merge.get(symbols[i] << 32 | symbols[i + 1]))]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i]
-            if symbols[i] < 0 or j < 0 or (m := self.merge.get(symbols[i] << 32 | symbols[j])) is None or m[0] != rank:
-                continue
-            symbols[i], symbols[j], after[i] = m[1], -1, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-                if m := self.merge.get(symbols[i] << 32 | symbols[after[j]]):
-                    heapq.heappush(heap, (m[0], i))
-            if before[i] >= 0 and (m := self.merge.get(symbols[before[i]] << 32 | symbols[i])):
-                heapq.heappush(heap, (m[0], before[i]))
-        return [s for s in symbols if s >= 0]
+        size = -(-n // BLOCK) * BLOCK
+        symbols, after, before = symbols.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(size, self.none, np.int64)
+        rank[: n - 1] = self._rank(symbols[:-1], symbols[1:])[0]
+        blocks = rank.reshape(-1, BLOCK)
+        least = blocks.min(1)
+        while (low := int(least.min())) < self.none:
+            own = np.flatnonzero(least == low)
+            rows, places = np.nonzero(blocks[own] == low)
+            at = own[rows] * BLOCK + places
+            # of places that overlap, as in a run of one symbol, every second counts, from the left
+            new = np.append(True, after[at[:-1]] != at[1:])
+            at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))) % 2 == 0]
+            gone = after[at]
+            symbols[at] = self._rank(symbols[at], symbols[gone])[1]
+            after[at] = after[gone]
+            follows = after[at]
+            before[follows[follows < n]] = at[follows < n]
+            rank[gone] = self.none
+            changed = np.unique(np.concatenate([at, before[at[before[at] >= 0]]]))
+            right = after[changed]
+            rank[changed] = np.where(right < n, self._rank(symbols[changed], symbols[np.minimum(right, n - 1)])[0], self.none)
+            touched = np.unique(np.concatenate([own, changed // BLOCK, gone // BLOCK]))
+            least[touched] = blocks[touched].min(1)
+            symbols[gone] = -1
+        return symbols[symbols >= 0]
 
     def merge_rounds(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces end to end, and how many each has.  The symbols of all pieces lie in one array; each
         round finds the lowest-ranked pair of every piece by binary search over the sorted pair keys and merges it
-        wherever it stands in that piece."""
+        wherever it stands in that piece.  A round passes over all symbols of pieces that still merge, so pieces of more
+        than LONG symbols have rounds of their own."""
         lengths = np.array([len(p) for p in pieces], np.int64)
-        long = {i: np.array(self._merge_long(self.byte_ids[np.frombuffer(pieces[i], np.uint8)].tolist()), np.int64) for i in np.flatnonzero(lengths > LONG).tolist()}
+        long = {i: self._merge_long(self.byte_ids[np.frombuffer(pieces[i], np.uint8)]) for i in np.flatnonzero(lengths > LONG).tolist()}
         short = b"".join(p for p in pieces if len(p) <= LONG)
         symbols = self.byte_ids[np.frombuffer(short, np.uint8)]
         owner = np.repeat(np.arange(len(pieces)), np.where(lengths > LONG, 0, lengths))
