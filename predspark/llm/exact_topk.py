@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,9 +85,51 @@ def search(tree: KDTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.nda
                 top.offer(found[other], at[other])
 
 
+class ExactTopK:
+    """As TopK, for scores beyond what doubles hold: whole numbers, which stop at the limits of long."""
+
+    __slots__ = ("best", "bound", "k")
+
+    def __init__(self, k: int) -> None:
+        self.k, self.best, self.bound = k, [], -math.inf
+
+    def offer(self, scores: list[int], ids: list[int]) -> None:
+        self.best = heapq.nsmallest(self.k, [*self.best, *((-max(-LONG - 1, min(LONG, s)), i) for s, i in zip(scores, ids, strict=True))])
+
+    def kth(self) -> int | None:
+        return -self.best[-1][0] if len(self.best) == self.k else None
+
+
+def exact_search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, best: list[ExactTopK]) -> None:
+    """search() for components whose products doubles do not hold.  Rows and queries are scaled by powers of two to at
+    most 1, the tree's bounds and the scores of a leaf are then off by less than `slack`, and what comes within it of
+    the kth score is computed anew in whole numbers."""
+    if not len(x):
+        return
+    up, up_q = (math.frexp(float(np.abs(v).max()) or 1.0)[1] for v in (x, queries))
+    scaled, q_scaled = np.ldexp(x, -up), np.ldexp(queries, -up_q)
+    tree, slack = KDTree(scaled), 4.0 * (x.shape[1] + 1) ** 2 * 2.0**-52
+    for k, q in enumerate(q_scaled):
+        own, top, whole = query_ids[k], best[k], [int(c) for c in queries[k].tolist()]
+        bound, kth = tree.bounds(q[None])[0], -math.inf
+        heap = [(-bound[0], 0)]
+        while heap and -heap[0][0] + slack >= kth:
+            start, end, child = tree.nodes[heapq.heappop(heap)[1]]
+            if child:
+                for c in (child, child + 1):
+                    if bound[c] + slack >= kth:
+                        heapq.heappush(heap, (-bound[c], c))
+                continue
+            rows = tree.order[start:end]
+            rows = rows[(ids[rows] != own) & (tree.x[start:end] @ q + slack >= kth)]
+            top.offer([sum(a * int(b) for a, b in zip(whole, r, strict=True)) for r in x[rows].tolist()], ids[rows].tolist())
+            if (least := top.kth()) is not None:
+                kth = math.ldexp(float(least), -up - up_q) - slack
+
+
 def usable(vector: Column) -> Column:
-    """Not null, and all components finite."""
-    return vector.isNotNull() & F.forall(vector, lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)) & ~F.isnan(x))
+    """Not null, and all components finite, 1024 times as large too."""
+    return vector.isNotNull() & F.forall(vector, lambda x: F.coalesce(F.abs(x * 1024) < F.lit(float("inf")), F.lit(False)) & ~F.isnan(x))
 
 
 def vectors(batch_ids, batch_vectors) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -105,15 +148,6 @@ def exact_in_double(a: np.ndarray, b: np.ndarray) -> bool:
     return not a.size or not b.size or a.shape[1] * np.abs(a).max() * np.abs(b).max() < 2.0**53
 
 
-def plain_search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """For components too large for exact doubles: arbitrary integers, every row.  Scores stop at the limits of long."""
-    rows = [[int(c) for c in r] for r in x.tolist()]
-    for q, own in zip(queries.tolist(), query_ids.tolist(), strict=True):
-        q = [int(c) for c in q]
-        found = [(-max(-LONG - 1, min(LONG, sum(a * b for a, b in zip(q, r, strict=True)))), i) for r, i in zip(rows, ids.tolist(), strict=True) if i != own]
-        yield from ((own, i, -s) for s, i in heapq.nsmallest(k, found))
-
-
 def top_k(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", tree_rows: int = TREE_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """For each query row of the table, the k rows (but itself) with the highest inner product of floor(1024 * x).
 
@@ -124,7 +158,7 @@ def top_k(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     shared folder before the next starts.
 
     Returns query_id, rank (from 1), vec_id, score.  Ties go to the smaller vec_id.  Defined cases: rows with a null
-    id or a null vector, or with null or non-finite components, take no part; vectors meet only vectors of their own
+    id or a null vector, or with null or non-finite components (times 1024 too), take no part; vectors meet only vectors of their own
     length; rows with the query's vec_id are its own; of several query rows with one id the least vector is the query;
     repeated other rows are listed each; scores stop at the limits of long; other columns are ignored."""
     rows = table.select(table[id_col].cast("long").alias("vec_id"), table[vector_col].cast("array<double>").alias("v"), is_query.alias("q"))
@@ -161,13 +195,13 @@ def search_block(everything: DataFrame, part: pa.Table, k: int, tree_rows: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list[TopK]] = {}
         held: dict[int, list] = {}
-        plain: list[tuple[int, int, int]] = []
+        exact: dict[int, list[ExactTopK]] = {}
 
         def settle(d: int) -> None:
             ids, x = (np.concatenate(p) for p in zip(*held.pop(d), strict=True))
             query_ids, q, bound = shared.value[d]
             if not exact_in_double(q, x):
-                plain.extend(plain_search(x, ids, q, query_ids, k))
+                exact_search(x, ids, q, query_ids, exact.setdefault(d, [ExactTopK(k) for _ in query_ids]))
                 return
             tops = best.setdefault(d, [TopK(k, b) for b in bound])
             search(KDTree(x), ids, q, query_ids, tops)
@@ -183,8 +217,9 @@ def search_block(everything: DataFrame, part: pa.Table, k: int, tree_rows: int)
         for d, tops in best.items():
             query_ids = np.repeat(shared.value[d][0], [len(t.ids) for t in tops])
             yield pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array(np.concatenate([t.ids for t in tops])), pa.array(np.concatenate([t.scores for t in tops]).astype(np.int64))], names=["query_id", "vec_id", "score"])
-        if plain:
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in plain], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
+        for d, tops in exact.items():
+            found = [(own, i, -s) for own, t in zip(shared.value[d][0].tolist(), tops, strict=True) for s, i in t.best]
+            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in found], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
     found = everything.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
