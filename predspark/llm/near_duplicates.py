@@ -1,31 +1,52 @@
 """Near-duplicate documents: BagMinHash signatures, bands, and exact weighted-Jaccard verification.
 
-    texts -> signatures -> bands -> buckets with two or more different texts
+    texts -> signatures, one for each different text -> bands -> buckets with two or more texts
     buckets: pairs whose signatures agree enough span a forest of edges -> clusters (connected components)
     clusters: bags of shingles of the texts, fetched once; pairs that share a band and agree enough are verified
               exactly unless they are connected already -> links that span the classes -> classes (components)
 
-Nodes are texts (by their digest), so exact copies cost nothing beyond the first step.  A bucket or cluster of many
-texts is cut into blocks of BLOCK texts; each task sees two blocks, so memory is bounded, no pair is skipped and only
-forests are sent on."""
+Nodes are different texts (by their digest), so exact copies cost nothing beyond the first step.  A bucket or cluster
+of more than BLOCK texts is dealt in blocks of about BLOCK, each with a few common pivots; what hangs together with
+the same pivots needs no more pairs, and only the texts that do not are compared with all others of the group, block
+by block.  So a group of copies costs rows in proportion to its size, a task holds two blocks at most, no pair that
+could link two components is skipped, and only forests are sent on."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bag_minhash import Shingler, bands, signatures, weighted_jaccard
+from .bag_minhash import SIZE, Shingler, bands, signatures, weighted_jaccard
 from .bpe import slices
-from .common import WORD, materialize
+from .common import WORD, matched, materialize
 
 BLOCK = 512
-#: Components of 128 that must agree before a pair is looked at more closely: at a similarity of 0.8 fewer agree once
-#: in about five million pairs, as rare as a pair of that similarity without a common band.
-AGREE = 79
+PIVOTS = 8
+#: The share of pairs at the similarity asked for that a step may fail: about one in five million.
+MISSED = 2e-7
+
+
+def least_agreement(similarity: float, size: int = SIZE) -> int:
+    """Components that must agree before a pair is looked at more closely: fewer do once in 1 / MISSED pairs of that
+    similarity.  Components are compared by a byte, so different ones agree once in 256."""
+    p, below = min(1.0, similarity + (1 - similarity) / 256), 0.0
+    for t in range(size + 1):
+        below += math.comb(size, t) * p**t * (1 - p) ** (size - t)
+        if below > MISSED:
+            return t
+    return size
+
+
+def rows_of_bands(similarity: float, size: int = SIZE) -> int:
+    """The most components in a band at which a pair of that similarity shares none of size // rows bands once in
+    1 / MISSED pairs at most; 1 if there is no such number."""
+    return max((r for r in range(1, 9) if (1 - similarity**r) ** (size // r) <= MISSED), default=1)
 
 
 class Forest:
@@ -73,71 +94,193 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def in_block_pairs(df: DataFrame, keys: list[str], node: str, size: str, block: int) -> DataFrame:
-    """Deal the rows of each key group to pairs of blocks (i <= j) so that every two rows of a group meet; adds own (the
-    row's block), i, j."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col(size) / block)).cast("int")
-    df = df.withColumn("own", F.pmod(F.xxhash64(node), blocks).cast("int"))
-    df = df.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return df.withColumn("i", F.least("own", "_other")).withColumn("j", F.greatest("own", "_other")).drop("_other", size)
+Row = tuple[bytes, bytes | None, int]
+
+
+class Agreement:
+    """Links by signatures: two texts are linked if `least` components or more agree."""
+
+    columns = ("marks",)
+
+    def __init__(self, least: int) -> None:
+        self.least = least
+
+    def load(self, cols: list[list]) -> np.ndarray:
+        return np.frombuffer(b"".join(cols[0]), np.uint8).reshape(len(cols[0]), -1)
 
+    def candidates(self, marks: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a row of left and a row of right that may be linked."""
+        if len(left) * len(right) <= 4096:
+            same = (marks[left][:, None, :] == marks[right][None, :, :]).sum(2)
+        else:
+            same = np.zeros((len(left), len(right)), np.uint8)
+            for c in range(marks.shape[1]):
+                same += marks[left, c][:, None] == marks[right, c][None, :]
+        x, y = np.nonzero(same >= self.least)
+        return left[x], right[y]
+
+    def holds(self, data, a: int, b: int) -> bool:
+        return True
+
+
+class Similarity(Agreement):
+    """Links by exact weighted Jaccard similarity of pairs that share a band and agree enough."""
+
+    columns = ("marks", "bands", "shingles", "weights")
 
-def by_group(df: DataFrame, keys: list[str], work: Callable[..., Iterator[tuple[bytes, bytes]]], extra: list[str]) -> DataFrame:
-    """Deal rows by key and hand each group of two or more to work(h, own, i, j, columns): the digests, the blocks,
-    the group's pair of blocks, and the extra columns as lists.  work gives edges (a, b).  A group is bounded by its
-    caller; a task holds one group and one batch."""
-    columns = ["h", "own", *extra]
+    def __init__(self, least: int, similarity: float) -> None:
+        super().__init__(least)
+        self.num, self.den = Fraction(str(similarity)).as_integer_ratio()
+
+    def load(self, cols: list[list]):
+        marks = super().load(cols)
+        keys = np.frombuffer(b"".join(cols[1]), np.int64).reshape(len(marks), -1)
+        bags = [(np.frombuffer(s, np.uint64), np.frombuffer(w, np.int32)) for s, w in zip(cols[2], cols[3], strict=True)]
+        return marks, keys, bags, np.array([int(w.sum()) for _, w in bags])
+
+    def candidates(self, data, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        marks, keys, _, total = data
+        x, y = super().candidates(marks, left, right)
+        near = np.minimum(total[x], total[y]) * self.den >= np.maximum(total[x], total[y]) * self.num
+        x, y = x[near], y[near]
+        shares = np.concatenate([(keys[x[s : s + 65536]] == keys[y[s : s + 65536]]).any(1) for s in range(0, len(x), 65536)] or [np.zeros(0, bool)])
+        return x[shares], y[shares]
+
+    def holds(self, data, a: int, b: int) -> bool:
+        least, most = weighted_jaccard(data[2][a], data[2][b])
+        return least * self.den >= most * self.num
+
+
+def in_block(linker: Agreement, h: list[bytes], role: np.ndarray, cols: list[list]) -> Iterator[Row]:
+    """The links that span a block (a, b, 0) and, if it has pivots (their number is the role, -1 is none), for each
+    other text (h, null, bits of the pivots that it is connected with)."""
+    data, forest, every = linker.load(cols), Forest(len(h)), np.arange(len(h))
+    x, y = linker.candidates(data, every, every)
+    for a, b in zip(x[x < y].tolist(), y[x < y].tolist(), strict=True):
+        if forest.root(a) != forest.root(b) and linker.holds(data, a, b):
+            forest.join(a, b)
+            yield h[a], h[b], 0
+    if (pivots := np.flatnonzero(role >= 0)).size:
+        bits: dict[int, int] = {}
+        for i in pivots.tolist():
+            bits[forest.root(i)] = bits.get(forest.root(i), 0) | 1 << int(role[i])
+        yield from ((h[i], None, bits.get(forest.root(i), 0)) for i in np.flatnonzero(role < 0).tolist())
+
+
+def between_blocks(linker: Agreement, h: list[bytes], role: np.ndarray, cols: list[list]) -> Iterator[Row]:
+    """The links between texts of role 0 and of role 1 that span them."""
+    data, forest = linker.load(cols), Forest(len(h))
+    for a, b in zip(*(x.tolist() for x in linker.candidates(data, np.flatnonzero(role == 0), np.flatnonzero(role == 1))), strict=True):
+        if h[a] != h[b] and forest.root(a) != forest.root(b) and linker.holds(data, a, b):
+            forest.join(a, b)
+            yield h[a], h[b], 0
+
+
+def by_group(df: DataFrame, keys: list[str], work: Callable[..., Iterator[Row]], linker: Agreement) -> DataFrame:
+    """Deal rows by keys and hand each group of two or more to work: the digests, the roles and the linker's columns.
+    A group is bounded by its caller; a task holds one group and one batch.  Returns the first key and what work gives."""
+    columns = ["h", "role", *linker.columns]
+    schema = df.select(keys[0]).schema.add("a", "binary").add("b", "binary").add("bits", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        last, held, found = None, None, []
+
+        def settle() -> None:
+            if held is not None and len(held[0]) > 1:
+                found.extend((last[0], *x) for x in work(linker, held[0], np.array(held[1]), held[2:]))
+
+        def packed(types) -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(types)], names=[keys[0], "a", "b", "bits"])
+            found.clear()
+            return out
+
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.int32()]
         for batch in batches:
             if not len(batch):
                 continue
+            types[0] = batch.column(0).type
             rows = list(zip(*[batch.column(k).to_pylist() for k in range(len(keys))], strict=True))
             cols = [batch.column(c).to_pylist() for c in columns]
             cuts = [0, *[r for r in range(1, len(rows)) if rows[r] != rows[r - 1]], len(rows)]
-            edges: list[tuple[bytes, bytes]] = []
             for s, e in zip(cuts, cuts[1:], strict=False):
                 own = [c[s:e] for c in cols]
                 if rows[s] == last:
                     for h, o in zip(held, own, strict=True):
                         h.extend(o)
                     continue
-                if held is not None and len(held[0]) > 1:
-                    edges.extend(work(held[0], np.array(held[1]), *last[-2:], held[2:]))
+                settle()
                 last, held = rows[s], own
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in edges], pa.binary()) for k in (0, 1)], schema=EDGE)
-        if held is not None and len(held[0]) > 1 and (edges := list(work(held[0], np.array(held[1]), *last[-2:], held[2:]))):
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in edges], pa.binary()) for k in (0, 1)], schema=EDGE)
+            if found:
+                yield packed(types)
+        settle()
+        if found:
+            yield packed(types)
 
     # a number of partitions: by bytes alone Spark would leave this work to a few tasks
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(*keys, *columns).repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary")
-
+    return df.select(*keys, *columns).repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
-def agreeing(marks: np.ndarray, own: np.ndarray, i: int, j: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows, of blocks i and j each if they differ, whose signatures agree in `least` components or more."""
-    left, right = (np.arange(len(own)), np.arange(len(own))) if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
-    if len(left) * len(right) <= 4096:
-        same = (marks[left][:, None, :] == marks[right][None, :, :]).sum(2)
-    else:
-        same = np.zeros((len(left), len(right)), np.uint8)
-        for c in range(marks.shape[1]):
-            same += marks[left, c][:, None] == marks[right, c][None, :]
-    x, y = np.nonzero(same >= least)
-    x, y = left[x], right[y]
-    return (x[x < y], y[x < y]) if i == j else (x, y)
 
+def connected_with_most(masks: DataFrame, key: str) -> DataFrame:
+    """masks: key, masks (list of (bits, count), 2**PIVOTS at most).  Adds most, the pivots of the component with the
+    most texts, and rest, the number of texts outside it."""
 
-EDGE = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-
-
-def labelled_documents(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK, agree: int = AGREE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most, rest = [], []
+            for own in batch.column(1).to_pylist():
+                groups: dict[int, int] = {}
+                for m in own:
+                    bits, count = m["bits"], m["count"]
+                    for g in [g for g in groups if g & bits]:
+                        bits, count = bits | g, count + groups.pop(g)
+                    if bits:
+                        groups[bits] = count
+                best = max(groups, key=lambda g: (groups[g], g), default=0)
+                most.append(best)
+                rest.append(sum(m["count"] for m in own) - groups.get(best, 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(most, pa.int32()), pa.array(rest, pa.int64())], names=[key, "most", "rest"])
+
+    return masks.mapInArrow(run, masks.select(key).schema.add("most", "integer").add("rest", "long"))
+
+
+def links(members: DataFrame, key: str, linker: Agreement, block: int, hot: float, name: str) -> DataFrame:
+    """Links (a, b) that connect the texts of each group as all links between two of them would.
+
+    members: key, h, n (the group's texts) and the linker's columns.  Groups of up to block texts are one task's each.
+    Others are dealt in blocks with PIVOTS pivots; then the texts outside the component with the most texts meet all."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
+    extra = list(linker.columns)
+    small = members.where(F.col("n") <= block).select(key, F.lit(0).alias("block"), "h", F.lit(-1).alias("role"), *extra)
+    large = members.where(F.col("n") > block)
+    if large.select(key).isEmpty():
+        return by_group(small, [key, "block"], lambda *x: in_block(*x), linker).select("a", "b")
+    large = materialize(large, f"{name}-large")
+    pivots = large.groupBy(key, "n", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(PIVOTS)).cast("int").alias("role")).agg(F.min(F.struct("h", *extra)).alias("one"))
+    pivots = pivots.select(key, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "one.h", "role", *[f"one.{c}" for c in extra])
+    dealt = large.select(key, F.pmod(F.xxhash64("h"), blocks).cast("int").alias("block"), "h", F.lit(-1).alias("role"), *extra)
+    found = materialize(by_group(small.unionByName(dealt).unionByName(pivots), [key, "block"], lambda *x: in_block(*x), linker), f"{name}-found")
+    edges, told = found.where("b is not null").select("a", "b"), found.where("b is null").select(key, F.col("a").alias("h"), "bits")
+    masks = told.groupBy(key, "bits").agg(F.count("*").alias("count")).groupBy(key).agg(F.collect_list(F.struct("bits", "count")).alias("masks"))
+    open_ = connected_with_most(masks, key).where("rest > 0").join(large.select(key, "n").distinct(), key)
+    open_ = materialize(open_.withColumn("size", F.col("n")), f"{name}-open")
+    if open_.isEmpty():
+        return edges
+    outside = matched(told, key, open_, hot).where("(bits & most) = 0").select(key, "h")
+    right = matched(large.drop("n"), key, open_, hot)
+    first, second = (F.ceil(F.col(c) / block).cast("int") for c in ("rest", "size"))
+    left = outside.join(right, [key, "h"]).withColumn("i", F.pmod(F.xxhash64("h"), first).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), second - 1)))
+    right = right.withColumn("j", F.pmod(F.xxhash64("h", F.lit(2)), second).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), first - 1)))
+    both = left.withColumn("role", F.lit(0)).unionByName(right.withColumn("role", F.lit(1)), allowMissingColumns=True)
+    return edges.union(by_group(both, [key, "i", "j"], lambda *x: between_blocks(*x), linker).select("a", "b"))
+
+
+def labelled_documents(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, h (the digest of its text) and label (the same in a class); h and label are
     null for a document without words."""
     text = docs[text_col].cast("string")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("h"), text.alias("text"))
+    agree, band_rows = least_agreement(similarity), rows_of_bands(similarity)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -149,7 +292,7 @@ def labelled_documents(docs: DataFrame, similarity: float = 0.8, block: int = BL
                 first = [i for i in range(*part.indices(len(texts))) if texts[i] is not None and not (digests[i] in seen or seen.add(digests[i]))]
                 bags = shingler.bags([texts[i] for i in first])
                 signed = signatures(bags)
-                keys, marks = bands(signed), (signed.view(np.uint64) >> np.uint64(3)).astype(np.uint8)
+                keys, marks = bands(signed, band_rows), (signed.view(np.uint64) >> np.uint64(3)).astype(np.uint8)
                 key_of = {i: (keys[k].tolist(), marks[k].tobytes()) for k, i in enumerate(first) if len(bags[k][0])}
                 none.update(digests[i] for k, i in enumerate(first) if not len(bags[k][0]))
                 own = range(*part.indices(len(texts)))
@@ -165,26 +308,21 @@ def labelled_documents(docs: DataFrame, similarity: float = 0.8, block: int = BL
 
     signed = materialize(rows.mapInArrow(sign, "doc_id long, h binary, bands array<long>, marks binary"), "near-signed")
 
-    # 1. buckets with different texts; a text that is signed by several tasks is there more than once, with equal keys
-    spread = signed.where("bands is not null").select("h", F.explode("bands").alias("band"))
-    short = F.conv(F.hex(F.substring("h", 1, 7)), 16, 10).cast("bigint")
-    buckets = spread.select("band", short.alias("t")).groupBy("band").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("band", "size")
-    members = materialize(spread.join(buckets, "band"), "near-members")
-    marked = signed.where("marks is not null").select("h", "marks").dropDuplicates(["h"])
-
-    def bucket(h: list[bytes], own: np.ndarray, i: int, j: int, cols: list) -> Iterator[tuple[bytes, bytes]]:
-        x, y = agreeing(np.frombuffer(b"".join(cols[0]), np.uint8).reshape(len(h), -1), own, i, j, agree)
-        forest = Forest(len(h))
-        return ((h[a], h[b]) for a, b in zip(x.tolist(), y.tolist(), strict=True) if forest.join(a, b))
-
-    edges = by_group(in_block_pairs(members.join(marked, "h"), ["band"], "h", "size", block), ["band", "i", "j"], bucket, ["marks"])
+    # 1. buckets of different texts; several tasks may have signed one text
+    texts = materialize(signed.where("bands is not null").select("h", "bands", "marks").dropDuplicates(["h"]), "near-texts")
+    hot = max(2.0, texts.count() / 1000)  # of 32 bands a text, at most 32,000 have so many texts
+    spread = texts.select("h", F.explode("bands").alias("band"))
+    buckets = materialize(spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("texts", F.col("n")), "near-buckets")
+    members = matched(spread, "band", buckets, hot).withColumnRenamed("texts", "n")
+    edges = links(members.join(texts.select("h", "marks"), "h"), "band", Agreement(agree), block, hot, "near-buckets")
     clusters = components(edges, "near-clusters")
 
-    # 2. bags of the texts in clusters, each sent to its cluster once for each pair of its block with another
-    sizes = clusters.groupBy("label").agg(F.count("*").alias("size"))
-    nodes = clusters.join(sizes, "label").select(F.col("node").alias("h"), F.col("label").alias("cluster"), "size")
-    chosen = signed.groupBy("h").agg(F.min("doc_id").alias("doc_id")).join(nodes, "h")
-    wanted = rows.join(chosen.select(F.col("h").alias("_h"), F.col("doc_id").alias("_d"), "cluster", "size"), (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("h", "cluster", "size", "text")
+    # 2. bags of the texts in clusters, each made once
+    sizes = clusters.groupBy("label").agg(F.count("*").alias("n")).withColumn("texts", F.col("n"))
+    nodes = matched(clusters, "label", sizes, hot).select(F.col("node").alias("h"), F.col("label").alias("cluster"), F.col("texts").alias("n"))
+    first_id = signed.groupBy("h").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"))).alias("one")).select("h", "one.*")
+    once = rows.groupBy("h", F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id")).agg(F.first("text").alias("text"))  # the same text in a group
+    wanted = once.join(first_id.join(nodes, "h").hint("merge"), ["h", "no_id", "id"]).select("h", "cluster", "n", "text")
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -195,69 +333,58 @@ def labelled_documents(docs: DataFrame, similarity: float = 0.8, block: int = BL
                 signed = signatures(bags)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *[batch.column(c)[part] for c in ("h", "cluster", "size")],
-                        pa.array([k.tobytes() for k in bands(signed)], pa.binary()),
+                        *[batch.column(c)[part] for c in ("h", "cluster", "n")],
+                        pa.array([k.tobytes() for k in bands(signed, band_rows)], pa.binary()),
                         pa.array([m.tobytes() for m in (signed.view(np.uint64) >> np.uint64(3)).astype(np.uint8)], pa.binary()),
                         pa.array([s.tobytes() for s, _ in bags], pa.binary()),
                         pa.array([w.astype(np.int32).tobytes() for _, w in bags], pa.binary()),
                     ],
-                    names=["h", "cluster", "size", "bands", "marks", "shingles", "weights"],
+                    names=["h", "cluster", "n", "bands", "marks", "shingles", "weights"],
                 )
 
-    bagged = wanted.mapInArrow(bag, "h binary, cluster binary, size long, bands binary, marks binary, shingles binary, weights binary")
-    num, den = similarity.as_integer_ratio() if similarity != 0.8 else (4, 5)
-
-    def cluster(h: list[bytes], own: np.ndarray, i: int, j: int, cols: list) -> Iterator[tuple[bytes, bytes]]:
-        marks = np.frombuffer(b"".join(cols[0]), np.uint8).reshape(len(h), -1)
-        keys = np.frombuffer(b"".join(cols[1]), np.int64).reshape(len(h), -1)
-        bags = [(np.frombuffer(s, np.uint64), np.frombuffer(w, np.int32)) for s, w in zip(cols[2], cols[3], strict=True)]
-        total = np.array([int(w.sum()) for _, w in bags])
-        x, y = agreeing(marks, own, i, j, agree)
-        near = np.minimum(total[x], total[y]) * den >= np.maximum(total[x], total[y]) * num
-        x, y = x[near], y[near]
-        shares = np.concatenate([(keys[x[s : s + 65536]] == keys[y[s : s + 65536]]).any(1) for s in range(0, len(x), 65536)] or [np.zeros(0, bool)])
-        forest = Forest(len(h))
-        for a, b in zip(x[shares].tolist(), y[shares].tolist(), strict=True):
-            if forest.root(a) != forest.root(b):
-                least, most = weighted_jaccard(bags[a], bags[b])
-                if least * den >= most * num:
-                    forest.join(a, b)
-                    yield h[a], h[b]
-
-    links = by_group(in_block_pairs(bagged, ["cluster"], "h", "size", block), ["cluster", "i", "j"], cluster, ["marks", "bands", "shingles", "weights"])
-    classes = components(links, "near-classes")
+    bagged = wanted.mapInArrow(bag, "h binary, cluster binary, n long, bands binary, marks binary, shingles binary, weights binary")
+    if not sizes.where(F.col("n") > block).isEmpty():
+        bagged = materialize(bagged, "near-bags")
+    classes = components(links(bagged, "cluster", Similarity(agree, similarity), block, hot, "near-clusters"), "near-classes")
 
     return signed.select("doc_id", "h").join(classes.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "h", F.coalesce("label", "h").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK, agree: int = AGREE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, class_id (the least doc_id of its class) and class_size (documents).
 
     A class is a connected component of documents by links: equal texts, or bags of 5-word shingles (words as they
     are, a shorter text is one shingle) with a weighted Jaccard similarity of `similarity` or more.  A link is lost
-    only where signatures fail a pair, about one in five million at 0.8 and far fewer above.  agree goes with 0.8: it
-    must be lowered with similarity.  Defined cases: a document without words (null, empty) is in no class: its
-    class_id is its own doc_id and class_size 1; null doc_ids take part and count, but are never a class_id unless the
-    class has no other; repeated rows are copies of each other; an empty table gives an empty result; other columns
-    are ignored."""
-    labelled = labelled_documents(docs, similarity, block, agree, id_col, text_col)
+    only where signatures fail a pair, about one in five million at that similarity and far fewer above; the rows of
+    a band and the agreement asked for follow from it.  Defined cases: a document without words (null, empty) is in no
+    class: its class_id is its own doc_id and class_size 1; null doc_ids take part and count, but are never a class_id
+    unless the class has no other; repeated rows are copies of each other; an empty table gives an empty result; other
+    columns are ignored."""
+    labelled = labelled_documents(docs, similarity, block, id_col, text_col)
     named = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     grouped = labelled.where("label is not null").join(named.hint("merge"), "label").select("doc_id", "class_id", "class_size")
     return grouped.union(labelled.where("label is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents of docs without the near copies of others: of each class one row, with the least doc_id and of
-    those the least digest of the text.  Rows without words are in no class; of those with one doc_id and one text one
-    stays.  Rows with a null doc_id cannot be told apart and are kept."""
+    """The documents of docs without the near copies of others, with the columns of docs, whatever these are called.
+
+    Of each class one row stays, with the least doc_id (null after all others) and of those the least digest of the
+    text.  Rows are told apart by doc_id, null too, and text: of several with both the same one stays, which one is
+    decided by a hash of all columns.  Rows without words are in no class, so of these all with different ids stay.  An
+    empty table gives an empty one.  Texts are shuffled once, after equal rows of a task have become one."""
     labelled = labelled_documents(docs, id_col=id_col, text_col=text_col, **options)
-    copies = labelled.where("label is not null and doc_id is not null").groupBy("label", "doc_id", "h").agg(F.count("*").alias("_rows"))
-    least = copies.groupBy("label").agg(F.min(F.struct("doc_id", "h", "_rows")).alias("_one"))
-    kept = materialize(least.select(F.col("_one.doc_id").alias("_id"), F.col("_one.h").alias("_h"), F.col("_one._rows").alias("_rows")), "near-kept")
-    text = docs[text_col].cast("string")
-    rows = docs.where(docs[id_col].isNotNull()).select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].cast("long").alias("_doc"), F.unhex(F.md5(text.cast("binary"))).alias("_digest"), F.coalesce(text.rlike(WORD), F.lit(False)).alias("_words"))
-    joined = rows.where("_words").join(kept, (F.col("_doc") == F.col("_id")) & (F.col("_digest") == F.col("_h")))
-    once = joined.where("_rows = 1").select("_row.*")
-    several = joined.where("_rows > 1").select("_doc", "_digest", "_row").union(rows.where("not _words").select("_doc", "_digest", "_row"))
-    more = several.groupBy("_doc", "_digest").agg(F.first("_row").alias("_row")).select("_row.*")
-    return once.union(more).union(docs.where(docs[id_col].isNull()))
+    named = labelled.where("label is not null").groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")).alias("one"))
+    stays = materialize(named.select("one.no_id", "one.id", "one.h"), "near-kept").withColumn("stays", F.lit(True))
+    text, doc_id = docs[text_col].cast("string"), docs[id_col].cast("long")
+    hashed = [docs[f.name] for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        doc_id.isNull().alias("no_id"),
+        F.coalesce(doc_id, F.lit(0)).alias("id"),
+        F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b"")).alias("h"),
+        F.coalesce(text.rlike(WORD), F.lit(False)).alias("words"),
+        F.xxhash64(*hashed).alias("order"),
+    )
+    one = rows.groupBy("no_id", "id", "h", "words").agg(F.min_by("row", "order").alias("row"))
+    return one.join(stays.hint("merge"), ["no_id", "id", "h"], "left").where("not words or stays").select("row.*")
