@@ -100,12 +100,11 @@ def test_rules_on_odd_and_empty(odd, none):
 # op3
 
 
-def brute_tree(texts, depth, p_root, p_context, p_symbol, least):
+def brute_tree(texts, depth, least_context, least_symbol, least):
     """A suffix tree in plain dictionaries: probability(context, symbol)."""
     counts = Counter(w for t in texts for w in t)
     n, v = sum(counts.values()), len(counts)
-    frequent = {w for w, c in counts.items() if c >= max(2, math.ceil(p_root * n))}
-    symbols = {w for w in frequent if counts[w] >= max(2, p_symbol * n)}
+    symbols = {w for w, c in counts.items() if c >= least_symbol}
     total, pair = Counter(), Counter()
     for t in texts:
         for i, w in enumerate(t):
@@ -115,7 +114,7 @@ def brute_tree(texts, depth, p_root, p_context, p_symbol, least):
                 c = tuple(["^", *t][i + 1 - d : i + 1])
                 total[c] += 1
                 pair[c, w] += 1
-    stored = {k: x for k, x in pair.items() if k[1] in symbols and x >= max(2, math.ceil(p_symbol * n))}
+    stored = {k: x for k, x in pair.items() if k[1] in symbols and x >= least_symbol}
     kept, seen = {}, set()
 
     def root(w):
@@ -129,7 +128,7 @@ def brute_tree(texts, depth, p_root, p_context, p_symbol, least):
         own, back = kept[c]
         return max(own.get(w, 0.5) - 0.5, 0) / total[c] + back * prob(c[1:], w)
 
-    level = [c for c in {k[0] for k in pair} if len(c) == 1 and (c[0] == "^" and len(texts) >= max(2, p_context * n) or c[0] in frequent and counts[c[0]] >= max(2, p_context * n))]
+    level = [c for c in {k[0] for k in pair} if len(c) == 1 and (c[0] == "^" and len(texts) >= least_context or counts[c[0]] >= least_context)]
     for _ in range(depth):
         made = {}
         for c in level:
@@ -140,7 +139,7 @@ def brute_tree(texts, depth, p_root, p_context, p_symbol, least):
             if gain - len(own) / (2 * total[c]) >= least:
                 made[c] = (own, 1 - sum(x - 0.5 for x in own.values()) / total[c])
         kept.update(made)
-        level = [(*c, w) for (c, w), x in stored.items() if c in level and w != b"" and x >= max(2, p_context * n)]
+        level = [(*c, w) for (c, w), x in stored.items() if c in level and w != b"" and x >= least_context]
     return prob, counts, n, v, kept, seen
 
 
@@ -155,10 +154,10 @@ def test_suffix_tree_matches_plain_version(spark):
             w.append({"the": r.choice(["cat", "dog", "sun"]), "cat": "sat", "dog": r.choice(["ran", "sat"]), "sat": "on", "on": "the"}.get(w[-1], r.choice(["the", "a", "zig", f"rare{r.randint(0, 300)}"])))
         texts.append(" ".join(w))
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    options = dict(depth=3, p_root=0.002, p_context=0.01, p_symbol=0.002, min_divergence=0.01)
+    options = dict(depth=3, p_root=0.002, least_context=12, least_symbol=3, min_divergence=0.01)
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))}
     tokens = {i: [*t.lower().encode().split(), b""] for i, t in enumerate(texts)}
-    prob, counts, n, v, kept, _ = brute_tree([t for i, t in tokens.items() if not held[i]], 3, 0.002, 0.01, 0.002, 0.01)
+    prob, counts, n, v, kept, _ = brute_tree([t for i, t in tokens.items() if not held[i]], 3, 12, 3, 0.01)
     assert {len(c) for c in kept} >= {1, 2}
     for row in suffix_tree.score_documents(df, **options).collect():
         t = tokens[row["doc_id"]]
@@ -185,7 +184,7 @@ def test_suffix_tree_keeps_what_recurs_in_a_larger_corpus(spark):
     n = sum(map(len, learned))
     often = sum(b"kind" in t for t in learned)
     assert 10 <= often < 1e-4 * n
-    prob, _, _, _, kept, _ = brute_tree(learned, 3, 0, 9.5 / n, 0, 0.01)
+    prob, _, _, _, kept, _ = brute_tree(learned, 3, 10, 2, 0.01)
     assert {(b"kind",), (b"kind", b"of"), (b"kind", b"of", b"blue")} & set(kept)
     for row in suffix_tree.score_documents(df).collect():
         t = tokens[row["doc_id"]]
