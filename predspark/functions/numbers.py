@@ -125,6 +125,16 @@ class Number:
         return out[0] if len(out) == 1 else F.coalesce(*out)
 
 
+def exactly(c: Column) -> Column:
+    """A numeric Column of any type in the form EITHER; its type is known when a plan is made, and only then matters."""
+    kind = F.typeof(c)
+    whole = kind.isin("tinyint", "smallint", "int", "bigint") | kind.rlike(r"^decimal\(\d+,0\)$")
+    wide = c.try_cast(WIDE)
+    i = F.when(whole & (wide >= F.lit(str(LEAST_INT)).cast(WIDE)) & (wide <= F.lit(str(MOST_INT)).cast(WIDE)), wide.try_cast(EXACT))
+    d = F.when(~whole, c.try_cast("double"))
+    return F.when(i.isNotNull() | d.isNotNull(), F.struct(i.alias("i"), d.alias("d")))
+
+
 def common(a: T.DataType, b: T.DataType) -> T.DataType:
     """The least type that holds both kinds of number."""
     if a == b:
@@ -205,6 +215,11 @@ def compute(op: str, a: Number, b: Number) -> Number:
             quotient = real_quotient(x.cast("double"), y.cast("double"))
             if small:
                 d = quotient  # below 2**32: the double is exact wherever the quotient is whole
+            elif a.bits < 64 and isinstance(b.value, int) and 0 < abs(b.value) < 1 << 31:
+                # the remainder of two bigints; the quotient fits but for -2**63 / -1
+                i = F.when(F.pmod(x, F.lit(abs(b.value))) == 0, in_range(F.negative(x.cast(WIDE))) if b.value == -1 else F.call_function("div", x, F.lit(b.value).cast("bigint")))
+                bits = 64 if b.value == -1 else 63
+                d = F.when(i.isNull(), quotient)
             else:
                 whole = F.when((y != 0) & (F.try_mod(x.cast(WIDE), y.cast(WIDE)) == 0), F.try_divide(x.cast(WIDE), y.cast(WIDE)).cast(WIDE))
                 i = in_range(whole)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from predspark.errors import CheckProblem, Problem, SpecializeProblem
-from predspark.functions import signatures
+from predspark.functions import patterns, signatures
 from predspark.functions.hosts import Host
 from predspark.plans import bounds, parser, shape, unparse
-from predspark.plans.ast import Call, Lit, Node, walk
+from predspark.plans.ast import Call, Fold, Lit, Node, Select, Var, walk
 from predspark.plans.check import Checker, Demand, type_of
 from predspark.plans.evaluate import evaluate
 from predspark.plans.specialize import specialize
@@ -125,6 +125,11 @@ class Environment:
         if not problems and returning is not None and not same(t, RESULTS[returning]):
             problems.append(Problem(f"the result is {t}, not {returning}", tree.start, tree.end))
         for n in walk(tree):
+            if isinstance(n, Call) and n.name == "matches" and isinstance(n.args[-1], Lit) and not problems:
+                try:
+                    patterns.as_java(n.args[-1].value)
+                except patterns.Unsupported as why:
+                    problems.append(Problem(str(why), n.args[-1].start, n.args[-1].end))
             if self.closed and isinstance(n, Call) and n.name in ("==", "!=") and not problems:
                 for a, b in (n.args, n.args[::-1]):
                     values = self.closed.get(shape.path_of(a) or ())
@@ -187,6 +192,13 @@ class Program:
         """A number as the nearest double."""
         return self.value().num.double()
 
+    def tag(self, values: Sequence[str]) -> Column:
+        """The place of a string result in values, from 0; -1 for another string, NULL for an error."""
+        if self.result_kind != "string" or not 0 < len(set(values)) == len(values):
+            raise ValueError("a tag is the place of a string among different values")
+        c = self.column()
+        return F.when(c.isNotNull(), F.array_position(F.array(*[F.lit(v) for v in values]), c).cast("int") - 1)
+
     def filter(self, df: DataFrame) -> DataFrame:
         """The rows that the program admits: those for which it is true.  An error admits nothing."""
         return df.where(self.column(accept=True))
@@ -196,6 +208,21 @@ class Program:
         c = self.column()
         return F.when(c, "true").when(~c, "false").otherwise("error")
 
+    def element_fields(self, *path: str) -> set[str]:
+        """The fields that the program reads of the elements of a list, whose path ends in `path`; all, if an element
+        is used as a whole."""
+        kind, out = None, set()
+        counted = {id(n.args[0]) for n in walk(self.plan) if isinstance(n, Call) and n.name == "size"}
+        for fold in (n for n in walk(self.plan) if isinstance(n, Fold) and (shape.path_of(n.over) or ())[-len(path) :] == path):
+            kind = fold.over.type.of
+            body = [x for x in (fold.keep, fold.value) if x is not None]
+            named = [n for x in body for n in walk(x) if isinstance(n, Select) and isinstance(n.of, Var) and n.of.name == fold.var]
+            uses = sum(isinstance(n, Var) and n.name == fold.var for x in body for n in walk(x))
+            if uses != len(named) or fold.kind == "filter" and id(fold) not in counted:
+                return {k for k, _ in kind.fields}
+            out |= {n.field for n in named}
+        return out or ({k for k, _ in kind.fields[:1]} if isinstance(kind, Record) else set())
+
     def read(self, df: DataFrame) -> DataFrame:
         """df with the columns that the program reads."""
         names = {str(p[1]) if r.fields is not None and len(p) > 1 else p[0] for p in self.demand.paths for r in [self.env.roots[p[0]]]}

@@ -6,7 +6,6 @@ make a job fail."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 from typing import Any
@@ -18,11 +17,11 @@ from pyspark.sql import types as T
 
 from predspark.functions import durations, patterns
 from predspark.functions.hosts import Host
-from predspark.functions.numbers import WIDE, Number, common, compute, negate, relation
+from predspark.functions.numbers import WIDE, Number, common, compute, exactly, negate, relation
 from predspark.plans.ast import Call, Const, Fold, Index, ListOf, Lit, MapOf, Node, Select, Span, Var
 from predspark.plans.evaluate import sorted_keys
 from predspark.plans.specialize import put
-from predspark.types import DURATION, INTERVAL, NANOS, NULL, NUM, STR, Record, Type
+from predspark.types import DURATION, EITHER, INTERVAL, NANOS, NULL, NUM, STR, Record, Type, to_spark
 from predspark.types import ListOf as ListType
 from predspark.types import MapOf as MapType
 
@@ -298,10 +297,10 @@ class Lowering:
         if name in self.hosts:
             host = self.hosts[name]
             args = [self.lower(a, local) for a in e.args]
-            out = host.call(*[a.num.double() if a.num is not None else a.column for a in args])
-            from predspark.types import to_spark
-
-            return value_of(out, host.result, to_spark(host.result))
+            if host.columns is None:
+                return value_of(host.in_python([a.num.column(EITHER) if a.num is not None else a.column for a in args]), host.result, host.result_type())
+            out = host.columns(*[a.column if a.num is None or a.num.type != EITHER else a.num.double() for a in args])
+            return value_of(exactly(out), NUM, EITHER) if host.result == NUM else value_of(out, host.result, to_spark(host.result))
         args = [self.lower(a, local) for a in e.args]
         a, b = (*args, None, None)[:2]
         if name in ("==", "!="):
@@ -386,8 +385,10 @@ class Lowering:
         @F.pandas_udf("boolean")
         def found(texts: pd.Series, own: pd.Series) -> pd.Series:
             def one(t, p):
-                python = patterns.as_python(p) if t is not None and p is not None else None
-                return None if python is None else re.search(python, t) is not None
+                try:
+                    return None if t is None or p is None else patterns.found(p, t)
+                except patterns.Unsupported:
+                    return None
 
             return pd.Series([one(t, p) for t, p in zip(texts, own, strict=True)], dtype=object)
 

@@ -27,9 +27,7 @@ def bind(v: Any, t: Type, path: str = "value", limits: Limits | None = None) ->
         if t == BOOL and isinstance(v, bool) or t == STR and isinstance(v, str) or t == BYTES and isinstance(v, bytes) or t == NULL and v is None:
             return v
         if t == NUM and isinstance(v, (int, float)) and not isinstance(v, bool):
-            if isinstance(v, int) and not LEAST_INT <= v <= MOST_INT:
-                return float(v)
-            return v
+            return fail(path, t, v) if isinstance(v, int) and not LEAST_INT <= v <= MOST_INT else v
         if t == DURATION:
             if isinstance(v, Span):
                 return v

@@ -8,7 +8,8 @@ document is bounded by the program, not by the document."""
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Mapping
 from typing import Any
 
 import pandas as pd
@@ -22,8 +23,11 @@ from predspark.operators.environment import Program
 from predspark.plans.ast import Select, Span, walk
 from predspark.plans.evaluate import ABSENT, evaluate
 from predspark.shipping import ship_package
+from predspark.sources.values import bind
 from predspark.types import BOOL, DURATION, LEAST_INT, MOST_INT, NUM, STR, MapOf, Record, Type
 
+#: The number tokens of JSON; an integer out of range, or another token, is an error.
+NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?")
 #: Characters of text that the cells of a document hold together.
 MOST_TEXT = 64 * 1024
 
@@ -80,6 +84,13 @@ class Document:
             **{k: getattr(self, k) for k in ("path", "skip", "text", "held", "ended", "again")},
         }
 
+    def moved(self) -> bool:
+        """Whether cells, keys, closed objects or failures have changed since this was asked last; nothing else can
+        settle a program."""
+        now = (len(self.cells), len(self.seen), len(self.closed), len(self.failed), self.ended)
+        out, self._last = now != getattr(self, "_last", None), now
+        return out
+
     def push(self, kind: str, text: str | None) -> None:
         if kind == "end":
             self.ended = True
@@ -131,12 +142,11 @@ class Document:
                     self.cells[here] = {"ns": d.ns}
                     return
         elif kind == "number" and t == NUM:
-            try:
-                n = int(text)
-                self.cells[here] = n if LEAST_INT <= n <= MOST_INT else float(n)
-            except ValueError:
-                self.cells[here] = float(text)
-            return
+            if NUMBER.fullmatch(text or ""):
+                n = int(text) if text.lstrip("-").isdigit() else float(text)
+                if isinstance(n, float) or LEAST_INT <= n <= MOST_INT:
+                    self.cells[here] = n
+                    return
         elif kind in ("true", "false") and t == BOOL:
             self.cells[here] = kind == "true"
             return
@@ -196,16 +206,23 @@ def verdict(program: Program, root: str, doc: Document, others: dict[str, Any] |
 OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("verdict", T.StringType())])
 
 
-def decide_documents(events: DataFrame, program: Program, root: str) -> DataFrame:
+def decide_documents(events: DataFrame, program: Program, root: str, bound: Mapping[str, Any] | None = None, silence_ms: int | None = None) -> DataFrame:
     """(doc_id, verdict) for each document, once, in append mode when events is a stream.  Events of a document are
-    taken in the order of seq within a micro-batch, and micro-batches in the order they come."""
+    taken in the order of seq within a micro-batch, and micro-batches in the order they come.
+
+    bound: values of the program's other roots, the same for every document; a root with neither is refused.
+    silence_ms: a streamed document that no event comes for in so long ends there, and its state goes; without it a
+    document that never ends is kept."""
     wanted, kind = shape_of(program, root), program.env.roots[root].type
+    others = {k: bind(v, program.env.roots[k].type, k, program.env.limits) for k, v in (bound or {}).items()}
+    if missing := [r for r in program.demand.roots() if r != root and r not in others]:
+        raise CheckProblem(program.source, [Problem(f"{', '.join(missing)}: neither the document nor bound", 0, len(program.source))])
     ship_package(events.sparkSession)
 
     def advance(rows: pd.DataFrame, doc: Document) -> str | None:
         for event, text in rows.sort_values("seq")[["kind", "text"]].itertuples(index=False):
             doc.push(event, text if isinstance(text, str) else None)
-            if event != "part" and (out := verdict(program, root, doc)) is not None:
+            if event != "part" and (out := verdict(program, root, doc, others)) is not None:
                 return out
         return None
 
@@ -221,7 +238,7 @@ def decide_documents(events: DataFrame, program: Program, root: str) -> DataFram
                     if not open_:
                         continue
                     doc.push(event, text if isinstance(text, str) else None)
-                    if event != "part" and (out := verdict(program, root, doc)) is not None:
+                    if event != "part" and doc.moved() and (out := verdict(program, root, doc, others)) is not None:
                         done.append((doc_id, out))
                         open_ = False
                 yield pd.DataFrame({"doc_id": [d for d, _ in done], "verdict": [v for _, v in done]}, dtype=object)
@@ -230,7 +247,10 @@ def decide_documents(events: DataFrame, program: Program, root: str) -> DataFram
         return columns.where("doc_id is not null").repartition("doc_id").sortWithinPartitions("doc_id", "seq").mapInPandas(whole, OUT)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches))
+        if state.hasTimedOut:
+            rows = pd.DataFrame({"seq": [0], "kind": ["end"], "text": [None]})
+        else:
+            rows = pd.concat(list(batches))
         last = (rows["kind"] == "end").any()
         held = json.loads(state.get[0]) if state.exists else None
         if held == "decided":
@@ -244,10 +264,12 @@ def decide_documents(events: DataFrame, program: Program, root: str) -> DataFram
                 state.remove()
         else:
             state.update((json.dumps("decided" if out else doc.state()),))
+            if silence_ms is not None:
+                state.setTimeoutDuration(silence_ms)
         if out:
             yield pd.DataFrame({"doc_id": [key[0]], "verdict": [out]})
 
-    return columns.groupBy("doc_id").applyInPandasWithState(step, OUT, T.StructType([T.StructField("s", T.StringType())]), "append", GroupStateTimeout.NoTimeout)
+    return columns.groupBy("doc_id").applyInPandasWithState(step, OUT, T.StructType([T.StructField("s", T.StringType())]), "append", GroupStateTimeout.NoTimeout if silence_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 __all__ = ["Document", "decide_documents", "verdict"]
