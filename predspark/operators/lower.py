@@ -6,8 +6,11 @@ make a job fail."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 from typing import Any
 
 import pandas as pd
@@ -259,6 +262,12 @@ class Lowering:
             element, dt, xs = over.type.of, over.dt.elementType, over.column
         inner = lambda x: {**local, e.var: value_of(x, element, dt)}
         keep = (lambda x: self.lower(e.keep, inner(x)).column) if e.keep is not None else None
+        if e.kind in ("exists", "all") and isinstance(over.type, ListType):
+            parts = parts_of(e.keep, "||" if e.kind == "exists" else "&&")
+            short = [self.by_extremes(e, p, over, accept) for p in parts]
+            if any(c is not None for c in short):
+                each = [c if c is not None else self.fold(Fold(e.kind, e.over, e.var, p, type=e.type), local, accept).column for c, p in zip(short, parts, strict=True)]
+                return Value(e.type, boolean, reduce(or_ if e.kind == "exists" else and_, each))
         if e.kind == "exists":
             return Value(e.type, boolean, F.exists(xs, lambda x: self.lower(e.keep, inner(x), accept).column))
         if e.kind == "all":
@@ -280,6 +289,29 @@ class Lowering:
         out = F.transform(xs, made)
         return Value(e.type, T.ArrayType(seen[0].dt), F.when(~F.exists(out, lambda x: x.isNull()), out))
 
+    def by_extremes(self, e: Fold, part: Node, over: Value, accept: bool) -> Column | None:
+        """One comparison of the elements, or of a field of theirs, with a number: the least or the greatest element
+        decides, inside generated code.  What is NULL or NaN is an error that a decided fold absorbs."""
+        if not (isinstance(part, Call) and part.name in ("<", "<=", ">", ">=") and isinstance(part.args[1], Lit) and isinstance(part.args[1].value, (int, float))):
+            return None
+        x, dt, xs = part.args[0], over.dt.elementType, over.column
+        if isinstance(x, Select) and not x.test and not x.maybe and isinstance(dt, T.StructType) and x.field in dt.names:
+            x, xs, dt = x.of, xs.getField(x.field), dt[x.field].dataType
+        if not (isinstance(x, Var) and x.name == e.var and isinstance(dt, (T.DoubleType, T.FloatType, T.LongType, T.IntegerType))):
+            return None
+        if isinstance(dt, (T.DoubleType, T.FloatType)):
+            nan = F.lit(math.nan).cast(dt)
+            most = F.array_max(xs)
+            most = F.when(F.isnan(most), F.array_max(F.array_remove(xs, nan))).otherwise(most)
+            clean = F.coalesce(~F.arrays_overlap(xs, F.array(nan)), F.lit(False))  # NULL if there is a NULL
+        else:
+            most, clean = F.array_max(xs), (F.size(xs) == 0) | F.get(F.sort_array(xs), F.lit(0)).isNotNull()
+        extreme = most if (e.kind == "exists") == (part.name in (">", ">=")) else F.array_min(xs)
+        decided = relation(part.name, Number.of(extreme, dt), Number.literal(part.args[1].value))
+        if e.kind == "exists":
+            return F.coalesce(decided, F.lit(False)) if accept else F.when(decided, F.lit(True)).when(clean, F.lit(False))
+        return F.when(~decided, F.lit(False)).when(xs.isNotNull() & clean, F.lit(True))
+
     # calls
 
     def call(self, e: Call, local: Mapping[str, Value], accept: bool) -> Value:
@@ -395,6 +427,11 @@ class Lowering:
         return found(text, dynamic)
 
 
+def parts_of(e: Node, name: str) -> list[Node]:
+    """The sides of nested && or ||."""
+    return [p for a in e.args for p in parts_of(a, name)] if isinstance(e, Call) and e.name == name else [e]
+
+
 def widened(v: Value, dt: T.DataType) -> Column:
     """A list of numbers with elements of a wider type."""
     own = v.dt.elementType
