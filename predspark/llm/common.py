@@ -2,37 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from predspark.folders import shared_root
 from predspark.shipping import ship_package
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-_local: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one on a local master."""
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if sc.applicationId not in _local:
-        _local[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="predspark-")
-        sc.setCheckpointDir(_local[sc.applicationId])
-    return _local[sc.applicationId]
+_cleaned: set[str] = set()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_root(spark)}/predspark/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, below one of this application's own that goes when the driver ends."""
+    own = f"{shared_root(spark)}/predspark/{spark.sparkContext.applicationId}"
+    if own not in _cleaned:
+        _cleaned.add(own)
+        atexit.register(_remove, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(uri: str) -> None:
+    with contextlib.suppress(Exception):  # another user may clean the shared folder too
+        fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+        fs.delete_dir(path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

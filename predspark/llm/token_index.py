@@ -5,6 +5,7 @@ Files of a corpus, all in one folder:
   index-NNNNN.mph   one part of the index: a hash function without gaps over the part's keys, and for each slot the
                     key's fingerprint, shard, first id and number of ids
   manifest.json     id width, shard starts (ids before each shard) and the number of index parts
+  keys              a Parquet table of all keys (doc_id, ordinal) and their places
 A key is looked up in constant time: its hash picks the part, a few bit vectors the slot; the fingerprint tells keys
 that were never stored apart but for one in 2**32."""
 
@@ -113,7 +114,10 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 
 
 def pack_index(keys: np.ndarray, shard: np.ndarray, first: np.ndarray, count: np.ndarray) -> bytes:
-    """An index part as bytes.  Keys are distinct."""
+    """An index part as bytes.  Keys are distinct: of n documents two have one key about once in 2**65 / n**2 tables,
+    which is refused rather than indexed wrongly."""
+    if len(np.unique(keys)) < len(keys):
+        raise ValueError("two documents have one 64-bit key")
     mph = PerfectHash.build(keys)
     slot = mph.slots(keys)
     order = np.empty(len(keys), np.int64)
@@ -216,10 +220,12 @@ _encoders: dict[tuple[str, str], WordEncoder] = {}
 
 def write_corpus(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | None = None, part_keys: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode every text, append end_id, write the ids in ascending doc_id order (nulls first) and index them.
-    Returns the folder's URI; give one that every executor can write to, else a fresh one in the shared folder.
+    Returns the folder's URI; give one that every executor can write to, else it is a fresh one in the shared folder,
+    which goes when the driver ends.
 
-    Texts are range-partitioned by doc_id and sorted; each task streams its documents into one shard file, so no task
-    holds more than a batch.  Rows that share a doc_id lie together in the order they come, told apart by an ordinal.
+    Texts are range-partitioned by doc_id and place in the table, and sorted; each task streams its documents into one
+    shard file, so no task holds more than a batch, and a doc_id (or null) that many rows share spreads over many
+    shards.  Rows that share a doc_id lie together in the order they come, told apart by an ordinal.
     Index parts hold about part_keys keys, chosen by hash.  Defined cases: a null or empty text is just end_id; an
     empty table gives a manifest without shards; other columns are ignored."""
     from tokenizers import Tokenizer
@@ -228,7 +234,7 @@ def write_corpus(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder:
     folder = folder or shared_path(spark, "tokens")
     top = max(end_id, Tokenizer.from_file(tokenizer_path).get_vocab_size() - 1)
     dtype = "<u2" if top < 1 << 16 else "<u4"
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.monotonically_increasing_id().alias("place"))
 
     def write_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.setdefault((tokenizer_path, dtype), None) or WordEncoder(tokenizer_path, dtype)
@@ -260,14 +266,27 @@ def write_corpus(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder:
         write_whole(f"{folder}/shard-{shard:05d}.ids", (x for g in ([head], stream) for x in g))
         yield from entries
 
-    entries = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(write_shard, "doc_id long, ordinal long, shard int, first long, n long")
+    entries = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").mapInArrow(write_shard, "doc_id long, ordinal long, shard int, first long, n long")
     entries = materialize(entries, "token-entries")
-    sizes = entries.groupBy("shard").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).collect()  # one row for each shard file
+    which = F.struct(F.isnotnull("doc_id"), "doc_id")
+    ends = entries.groupBy("shard").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.min(which).alias("low"), F.max(which).alias("high"), F.max_by("ordinal", F.struct(F.isnotnull("doc_id"), "doc_id", "ordinal")).alias("last"))
+    sizes = ends.collect()  # one row for each shard file
     parts = max(1, -(-sum(r["docs"] for r in sizes) // part_keys))
-    starts, at = {}, 0
+    starts, at, earlier, before, done = {}, 0, [], None, 0
     for r in sorted(sizes, key=lambda r: r["shard"]):
         starts[r["shard"]] = at
         at += r["n"]
+        # a doc_id that goes on from the shard before counts on
+        base = done if r["low"] == before else 0
+        if base:
+            earlier.append((r["shard"], r["low"][1], base))
+        before, done = r["high"], r["last"] + 1 + (base if r["low"] == r["high"] else 0)
+    if earlier:
+        more = spark.createDataFrame(earlier, "shard int, _first long, _base long")  # one row for a shard at most
+        on = entries.join(F.broadcast(more), "shard", "left")
+        entries = on.withColumn("ordinal", F.when(F.col("doc_id").eqNullSafe(F.col("_first")) & F.col("_base").isNotNull(), F.col("ordinal") + F.col("_base")).otherwise(F.col("ordinal"))).drop("_first", "_base")
+    entries.write.parquet(f"{folder}/keys")
+    entries = spark.read.schema("doc_id long, ordinal long, shard int, first long, n long").parquet(f"{folder}/keys")
 
     def build(pdf):
         key = document_keys(pdf["doc_id"].fillna(0).to_numpy(np.int64), pdf["doc_id"].isna().to_numpy(), pdf["ordinal"].to_numpy())
@@ -277,7 +296,7 @@ def write_corpus(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder:
 
     keyed = entries.select("*", part_of(parts).alias("part"))
     keyed.groupBy("part").applyInPandas(build, "part int, keys long").agg(F.sum("keys")).collect()
-    manifest = {"dtype": dtype, "end_id": end_id, "parts": parts, "starts": {str(k): v for k, v in starts.items()}, "ids": at, "entries": entries.inputFiles()[0].rsplit("/", 1)[0] if sizes else None}
+    manifest = {"dtype": dtype, "end_id": end_id, "parts": parts, "starts": {str(k): v for k, v in starts.items()}, "ids": at}
     write_whole(f"{folder}/manifest.json", iter([json.dumps(manifest).encode()]))
     return folder
 
@@ -340,7 +359,4 @@ def read_documents(spark: SparkSession, folder: str, keys: DataFrame) -> DataFra
 
 def stored_keys(spark: SparkSession, folder: str) -> DataFrame:
     """The keys (doc_id, ordinal) of all documents that a folder holds."""
-    entries = json.loads(read_file(f"{folder}/manifest.json"))["entries"]
-    if entries is None:
-        return spark.createDataFrame([], "doc_id long, ordinal long")
-    return spark.read.parquet(entries).select("doc_id", "ordinal")
+    return spark.read.schema("doc_id long, ordinal long").parquet(f"{folder}/keys")
