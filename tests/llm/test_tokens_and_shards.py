@@ -58,6 +58,25 @@ def test_ids_come_back_from_files(spark, odd, docs):
         assert manifest["dtype"] == "<u2" and manifest["ids"] == at
 
 
+def test_an_id_that_many_rows_share_spreads_over_shards(spark):
+    """Null and one doc_id with 300 rows each: several shards, and ordinals that count on from shard to shard."""
+    rows = [(None, f"null {i}") for i in range(300)] + [(7, f"seven {i}") for i in range(300)] + [(i, f"own {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder = token_index.write_corpus(df, WORD, end_id=1, part_keys=100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    keys = token_index.stored_keys(spark, folder)
+    assert {(r["doc_id"], r["ordinal"]) for r in keys.collect()} == {(None, i) for i in range(300)} | {(7, i) for i in range(301)} | {(i, 0) for i in range(20)}
+    assert len(json.loads(token_index.read_file(f"{folder}/manifest.json"))["starts"]) >= 3
+    got, at = token_index.read_documents(spark, folder, keys).collect(), 0
+    for r in sorted(got, key=lambda r: (*key(r), r["ordinal"])):
+        assert r["start"] == at
+        at += len(r["ids"]) // 4
+    assert len(got) == 620
+
+
 def test_no_documents_make_no_shards(spark, none):
     folder = token_index.write_corpus(none, WORD)
     assert token_index.read_documents(spark, folder, token_index.stored_keys(spark, folder)).count() == 0
