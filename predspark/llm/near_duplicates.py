@@ -388,3 +388,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     )
     one = rows.groupBy("no_id", "id", "h", "words").agg(F.min_by("row", "order").alias("row"))
     return one.join(stays.hint("merge"), ["no_id", "id", "h"], "left").where("not words or stays").select("row.*")
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT r, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+b AS (SELECT r, g, count(*) AS n FROM s GROUP BY r, g),
+t AS (SELECT r, sum(n) AS total FROM b GROUP BY r),
+p AS (SELECT a.r AS x, c.r AS y, sum(least(a.n, c.n)) AS shared FROM b a JOIN b c ON a.g = c.g AND a.r < c.r GROUP BY a.r, c.r),
+e AS (SELECT x, y FROM p JOIN t tx ON tx.r = x JOIN t ty ON ty.r = y WHERE 5 * shared >= 4 * (tx.total + ty.total - shared)),
+u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+c AS (SELECT r, r AS o FROM t UNION SELECT c.r, u.y FROM c JOIN u ON c.o = u.x),
+l AS (SELECT r, min(o) AS root FROM c GROUP BY r),
+k AS (SELECT root, min(doc_id) AS class_id, count(*) AS class_size FROM l JOIN d USING (r) GROUP BY root)
+SELECT doc_id, CASE WHEN root IS NULL THEN doc_id ELSE class_id END AS class_id, CAST(coalesce(class_size, 1) AS BIGINT) AS class_size FROM d LEFT JOIN l USING (r) LEFT JOIN k USING (root)
+"""

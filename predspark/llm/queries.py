@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import ship_package, table
 from .exact_topk import SQL as _topk_sql
+from .near_duplicates import SQL as _near_sql
 from .quality_rules import SQL as _rules_sql
 
 
@@ -91,4 +92,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_near_duplicates": op6_near_duplicates, "op3_lm_scoring": op3_lm_scoring, "op1_exact_topk": op1_exact_topk, "op4_quality_classifier": op4_quality_classifier, "op9_bpe": op9_bpe, "op7_token_counts": op7_token_counts, "op5_token_index": op5_token_index, "op2_quality_rules": op2_quality_rules, "op8_mixing": op8_mixing, "op10_sharding": op10_sharding}
-SQL: dict[str, str] = {"op1_exact_topk": _topk_sql, "op2_quality_rules": _rules_sql}
+SQL: dict[str, str] = {"op1_exact_topk": _topk_sql, "op2_quality_rules": _rules_sql, "op6_near_duplicates": _near_sql}
