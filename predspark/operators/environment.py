@@ -19,7 +19,7 @@ from predspark.plans.check import Checker, Demand, type_of
 from predspark.plans.evaluate import evaluate
 from predspark.plans.specialize import specialize
 from predspark.sources.values import bind
-from predspark.types import BOOL, BYTES, NUM, STR, Record, Type, from_spark, same, to_spark
+from predspark.types import BOOL, BYTES, NUM, STR, Field, Record, Type, from_spark, same, to_spark
 
 from .lower import Lowering, Value, value_of
 
@@ -71,6 +71,14 @@ class Environment:
         self.roots[name] = Root(type, column, dt)
         return self
 
+    def declare_facts(self, name: str, **facts: tuple[Type | Field, Column]) -> Environment:
+        """Add a record whose fields are computed: name=(type, column), an optional one as Field(type, True).  A plan
+        computes what its program reads and nothing else; Spark may compute a column any number of times, so it has to
+        be deterministic.  NULL is an absent optional field, else an error."""
+        own = {k: (t if isinstance(t, Field) else Field(t), c) for k, (t, c) in facts.items()}
+        self.roots[name] = Root(Record(tuple((k, f) for k, (f, _) in own.items()), None, name), fields={k: (c, to_spark(f.type)) for k, (f, c) in own.items()})
+        return self
+
     def declare_closed(self, path: str, values: Iterable[str]) -> Environment:
         """Declare that a string at a dotted path is one of at most 64 values; programs that compare it with another
         literal do not compile.  Meaning is unchanged; such tests become IN, which scans push down."""

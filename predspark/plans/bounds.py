@@ -12,6 +12,8 @@ from .lexer import tokens
 
 @dataclass(frozen=True)
 class Limits:
+    """Names and defaults are fixed values of the language."""
+
     max_source_len: int = 8192
     max_depth: int = 32
     max_cost: int = 1_000_000

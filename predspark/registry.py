@@ -361,6 +361,14 @@ def q58_tag(spark, sf_dir):
     return df.select("event_id", Environment.from_df(df, root="e").compile("e.event_type", "string").tag(["click", "view"]).alias("value"))
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice > 100000")
+def q68_computed_facts(spark, sf_dir):
+    """Facts that are computed when they are read; one that is not read would make the job fail."""
+    df = table(spark, sf_dir, "orders")
+    env = Environment().declare_facts("f", price=(NUM, F.col("o_totalprice") * 1), broken=(NUM, F.raise_error(F.lit("read"))), maybe=(Field(NUM, True), F.lit(None).cast("double")))
+    return env.compile("f.price > 100000 && !has(f.maybe)").filter(df).select("o_orderkey")
+
+
 # functions of the caller
 
 
