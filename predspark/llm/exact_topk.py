@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Rows of a shard, for which one tree is built; queries that are searched together.
-TREE_ROWS, QUERY_BLOCK, LEAF = 16_384, 4_096, 256
+TREE_ROWS, QUERY_BLOCK, LEAF = 16_384, 16_384, 256
 LONG = (1 << 63) - 1
 
 

@@ -28,6 +28,8 @@ from .common import WORD, matched, materialize
 
 BLOCK = 512
 PIVOTS = 8
+#: Keys of documents (a digest and an id) up to which they are broadcast, so that other texts are not shuffled.
+MOST_KEYS = 400_000
 #: The share of pairs at the similarity asked for that a step may fail: about one in five million.
 MISSED = 2e-7
 
@@ -321,8 +323,12 @@ def labelled_documents(docs: DataFrame, similarity: float = 0.8, block: int = BL
     sizes = clusters.groupBy("label").agg(F.count("*").alias("n")).withColumn("texts", F.col("n"))
     nodes = matched(clusters, "label", sizes, hot).select(F.col("node").alias("h"), F.col("label").alias("cluster"), F.col("texts").alias("n"))
     first_id = signed.groupBy("h").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"))).alias("one")).select("h", "one.*")
-    once = rows.groupBy("h", F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id")).agg(F.first("text").alias("text"))  # the same text in a group
-    wanted = once.join(first_id.join(nodes, "h").hint("merge"), ["h", "no_id", "id"]).select("h", "cluster", "n", "text")
+    chosen = materialize(first_id.join(nodes, "h"), "near-chosen")
+    keyed = rows.select("h", F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text")
+    if chosen.count() <= MOST_KEYS:
+        keyed = keyed.join(F.broadcast(chosen.select("h", "no_id", "id")), ["h", "no_id", "id"], "left_semi")
+    once = keyed.groupBy("h", "no_id", "id").agg(F.first("text").alias("text"))  # a group has one text
+    wanted = once.join(chosen.hint("merge"), ["h", "no_id", "id"]).select("h", "cluster", "n", "text")
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -372,10 +378,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Of each class one row stays, with the least doc_id (null after all others) and of those the least digest of the
     text.  Rows are told apart by doc_id, null too, and text: of several with both the same one stays, which one is
     decided by a hash of all columns.  Rows without words are in no class, so of these all with different ids stay.  An
-    empty table gives an empty one.  Texts are shuffled once, after equal rows of a task have become one."""
+    empty table gives an empty one.  Only rows that may be repeated are shuffled if the keys of those and of the rows
+    that go are few enough to broadcast, else all once, after equal rows of a task have become one."""
     labelled = labelled_documents(docs, id_col=id_col, text_col=text_col, **options)
-    named = labelled.where("label is not null").groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")).alias("one"))
-    stays = materialize(named.select("one.no_id", "one.id", "one.h"), "near-kept").withColumn("stays", F.lit(True))
+    key = ["no_id", "id", "h"]
+    known = labelled.where("label is not null").select("label", F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")
+    copies = materialize(known.groupBy("label", *key).agg(F.count("*").alias("n")), "near-copies")
+    stays = materialize(copies.groupBy("label").agg(F.min(F.struct(*key, "n")).alias("one")).select("one.*"), "near-kept")
     text, doc_id = docs[text_col].cast("string"), docs[id_col].cast("long")
     hashed = [docs[f.name] for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
     rows = docs.select(
@@ -386,8 +395,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         F.coalesce(text.rlike(WORD), F.lit(False)).alias("words"),
         F.xxhash64(*hashed).alias("order"),
     )
-    one = rows.groupBy("no_id", "id", "h", "words").agg(F.min_by("row", "order").alias("row"))
-    return one.join(stays.hint("merge"), ["no_id", "id", "h"], "left").where("not words or stays").select("row.*")
+    one = lambda df: df.groupBy(*key, "words").agg(F.min_by("row", "order").alias("row"))
+    gone = copies.select(*key).join(stays.select(*key), key, "left_anti")
+    repeated = stays.where("n > 1").select(*key)
+    if gone.count() + repeated.count() > MOST_KEYS:
+        joined = one(rows).join(stays.select(*key, F.lit(True).alias("stays")).hint("merge"), key, "left")
+        return joined.where("not words or stays").select("row.*")
+    worded = rows.where("words")
+    single = worded.join(F.broadcast(gone.union(repeated)), key, "left_anti")
+    several = worded.join(F.broadcast(repeated), key, "left_semi").unionByName(rows.where("not words"))
+    return single.select("row.*").union(one(several).select("row.*"))
 
 
 SQL = r"""
