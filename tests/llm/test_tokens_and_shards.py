@@ -205,7 +205,9 @@ def test_wordless_documents_of_later_slices_are_single(spark, monkeypatch):
     assert got == [(0, 0, 1), (1, 1, 2), (2, 2, 1), (3, 3, 1), (4, 4, 1), (5, 5, 1), (6, 1, 2), (7, 7, 1)]
 
 
-def test_keep_one_tells_rows_of_one_id_apart(spark):
+@pytest.mark.parametrize("most_keys", [400_000, 0])
+def test_keep_one_tells_rows_of_one_id_apart(spark, monkeypatch, most_keys):
+    monkeypatch.setattr(near_duplicates, "MOST_KEYS", most_keys)
     near = prose(4, 200)
     rows = [(1, prose(1)), (1, prose(2)), (2, prose(3)), (2, prose(3)), (3, near), (5, near + " more"), (5, prose(6)), (7, ""), (7, None), (7, ""), (None, prose(1)), (8, prose(8)), (8, prose(8) + "  ")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
