@@ -21,65 +21,52 @@ told apart by 63-bit hashes: n of them have about n**2 / 2**64 colliding pairs."
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .blobs import BUCKET_ENTRIES, GATHERED, bucket_of, by_bucket, deal, runs, small
+from .blobs import SCHEMA as BLOBS
+from .common import matched, materialize
 from .quality_classifier import fold
+from .word_hash import WordHasher
 
-END = b""
-START = b" ^"  # no word holds a space
-#: Entries of a task's counter at which it is sent on.
-FLUSH = 400_000
-#: Words that are looked at together.
-WORDS = 400_000
-#: Words whose hashes a worker remembers.
-REMEMBERED = 400_000
+#: Keys of the end of a text and of the mark before its first word: odd, as keys of words are.
+END, START = 0x5851F42D4C957F2D, 0x14057B7EF767814F
+#: Entries of a task's counter at which it is summed, and half of those at which it is sent on.
+FLUSH = GATHERED
 #: Bits of a bitmap.
 BITS = 27
 DISCOUNT = 0.5
 
 
-def texts_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Slices of batches with the symbols of each text (the last column), about WORDS symbols at a time."""
+def symbols_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of batches with the keys of the symbols of their texts (the last column), end to end, and how many each
+    text has: a start mark, its words and an end."""
+    hasher = WordHasher(lower=True)
     for batch in batches:
-        cut, start, size = [], 0, 0
-        for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-            # bytes.lower() and bytes.split() know ASCII only
-            own = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-            own.append(END)
-            cut.append(own)
-            size += len(own)
-            if size >= WORDS:
-                yield batch.slice(start, i + 1 - start), cut
-                cut, start, size = [], i + 1, 0
-        if cut:
-            yield batch.slice(start), cut
-
-
-def symbol_key(word: bytes) -> int:
-    """An odd number; keys of longer n-grams are even."""
-    return xxhash.xxh64_intdigest(word) | 1
+        for rows, words, counts in hasher.slices(batch.column(batch.num_columns - 1)):
+            sizes = counts + 2
+            first = np.cumsum(sizes) - sizes
+            keys = np.empty(int(sizes.sum()), np.uint64)
+            is_word = np.ones(len(keys), bool)
+            is_word[first] = is_word[first + sizes - 1] = False
+            keys[first], keys[first + sizes - 1] = START, END
+            keys[is_word] = words | np.uint64(1)
+            yield batch.slice(rows.start, rows.stop - rows.start), keys, sizes
 
 
 def signed(key: int) -> int:
     return key - (1 << 64) if key >> 63 else key
 
 
-class Keys(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = key = symbol_key(word)
-        return key
-
-
 def gram_key(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     """The key of an n-gram from those of its first and its last n - 1 symbols."""
     x = prefix * np.uint64(0x9E3779B97F4A7C15) + suffix * np.uint64(0x9FB21C651E98DF25)
@@ -87,34 +74,79 @@ def gram_key(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) & np.uint64(0xFFFFFFFFFFFFFFFE)
 
 
-def grams(known: Keys, texts: list[list[bytes]], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def grams(keys: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each order from 1 on: key, prefix and suffix of the n-grams that end at a position, and the position, of all
     positions whose text goes back that far; positions count start marks."""
-    if len(known) > REMEMBERED:
-        known.clear()
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    mark = (START,)
-    keys = np.fromiter((known[w] for t in texts for own in (mark, t) for w in own), np.uint64, int(sizes.sum()))
     place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     at = np.flatnonzero(place >= 1)
     yield keys[at], keys[at], keys[at], at
     for n in range(1, order):
-        at = np.flatnonzero(place >= n)
+        at = at[place[at] >= n]
         prefix, suffix = keys[at - 1], keys[at]
         keys = np.zeros(len(keys), np.uint64)
         keys[at] = gram_key(prefix, suffix)
         yield keys[at], prefix, suffix, at
 
 
+class Counts:
+    """How often keys come, with columns that go with each key; sent on when it holds too many distinct ones."""
+
+    def __init__(self) -> None:
+        self.held: list[list[np.ndarray]] = []
+        self.size = 0
+
+    def add(self, key: np.ndarray, *columns: np.ndarray) -> list[np.ndarray] | None:
+        key, first, n = np.unique(key, return_index=True, return_counts=True)
+        self.held.append([key, n.astype(np.int64), *[c[first] for c in columns]])
+        self.size += len(key)
+        if self.size > FLUSH:
+            self.held = [self.summed()]
+            self.size = len(self.held[0][0])
+            if self.size > FLUSH // 2:
+                return self.rest()
+        return None
+
+    def summed(self) -> list[np.ndarray]:
+        key, n, *columns = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        key, first, where = np.unique(key, return_index=True, return_inverse=True)
+        return [key, np.bincount(where, n, len(key)).astype(np.int64), *[c[first] for c in columns]]
+
+    def rest(self, columns: int = 0) -> list[np.ndarray]:
+        """All that is held, which is then forgotten; nothing: as many columns without rows."""
+        out = self.summed() if self.held else [np.zeros(0, np.uint64), np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * columns]
+        self.held, self.size = [], 0
+        return out
+
+
 def bitmap(table: DataFrame, key: str) -> np.ndarray:
-    """A fixed number of bits, set where a key of the table falls; at most 2**(BITS - 5) rows are collected."""
-    bit = F.shiftrightunsigned(key, 1).bitwiseAND(F.lit((1 << BITS) - 1))
-    # 32 bits a word, so that none is negative
-    word, low = F.shiftright(bit, 5), bit.bitwiseAND(F.lit(31)).cast("int")
-    got = table.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), low).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (BITS - 5), np.uint32)
-    out[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.uint32)
-    return out
+    """A fixed number of bits, set where a key of the table falls; they come to the driver as 256 rows."""
+    chunk = 1 << (BITS - 13)  # words of 32 bits in one of 256 chunks
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(1)) & np.uint64((1 << BITS) - 1)
+            yield deal((bit // np.uint64(32 * chunk)).astype(np.int32), 0, [(bit % np.uint64(32 * chunk)).astype(np.uint32)])
+
+    def chunks(bucket: int, entries: Iterator[tuple[int, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(chunk, np.uint32)
+        for _, (bit,) in entries:
+            np.bitwise_or.at(out, (bit >> np.uint32(5)).astype(np.int64), np.uint32(1) << (bit & np.uint32(31)))
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["chunk", "bits"])
+
+    got = by_bucket(table.select(key).mapInArrow(words, BLOBS), chunks, "chunk int, bits binary").toArrow()
+    out = np.zeros((256, chunk), np.uint32)
+    for i, bits in zip(got.column("chunk").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        out[i] = np.frombuffer(bits, np.uint32)
+    return out.ravel()
+
+
+def packed_bits(bits: np.ndarray) -> bytes:
+    """Broadcasts lie on the disk of every executor."""
+    return zlib.compress(bits.tobytes(), 1)
+
+
+def unpacked_bits(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), np.uint32)
 
 
 def within(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -123,28 +155,50 @@ def within(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
 
 
-def matched(rows: DataFrame, key: str, table: DataFrame, hot: float) -> DataFrame:
-    """Inner join with table (key, n, ...), of which rows with n >= hot, of a bounded number, are broadcast: n bounds
-    the rows that share a key."""
-    large = table.where(F.col("n") >= hot).drop("n")
-    small = table.where(F.col("n") < hot).drop("n")
-    near = rows.join(F.broadcast(large), key)
-    far = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(small.hint("merge"), key)
-    return near.unionByName(far)
+def rows_of(rid: np.ndarray, ids: np.ndarray, missing: np.ndarray, held: np.ndarray, tokens: np.ndarray, known: np.ndarray, base: np.ndarray, log: np.ndarray) -> pa.RecordBatch:
+    """What is known of texts so far: sums, and the columns of the text itself in one of its rows."""
+    columns = [pa.array(rid), pa.array(ids, mask=missing), pa.array(held), pa.array(tokens), pa.array(known), pa.array(base), pa.array(log)]
+    return pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "log"])
+
+
+class Lookup:
+    """Places of keys in a sorted array of keys that are hashes: their upper bits pick a bucket of one or two."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = np.append(keys, np.zeros(1, keys.dtype))
+        self.shift = np.uint64(64 - max(4, len(keys).bit_length()))
+        ends = np.arange(1 << int(64 - int(self.shift)), dtype=np.uint64) << self.shift
+        self.starts = np.append(np.searchsorted(keys, ends), len(keys)).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are there, and the place of each of these."""
+        bucket = wanted >> self.shift
+        at, end = self.starts[bucket], self.starts[bucket + np.uint64(1)]
+        place = np.full(len(wanted), -1, np.int32)
+        todo = np.flatnonzero(at < end)
+        at, end, wanted = at[todo], end[todo], wanted[todo]
+        while len(todo):
+            hit = self.keys[at] == wanted
+            place[todo[hit]] = at[hit]
+            at = at + 1
+            left = ~hit & (at < end)
+            todo, at, end, wanted = todo[left], at[left], end[left], wanted[left]
+        here = place >= 0
+        return here, place[here]
 
 
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """materialize(), and no shuffle files of df stay, as nothing reads them again."""
-    conf = df.sparkSession.conf
-    before = conf.get(CLEAN, "false")
-    conf.set(CLEAN, "true")
+@contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query made and run in here are deleted when it ends, as nothing reads them again."""
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
     try:
-        return materialize(df, name)
+        yield
     finally:
-        conf.set(CLEAN, before)
+        spark.conf.set(CLEAN, before)
 
 
 def discard(df: DataFrame) -> None:
@@ -159,7 +213,7 @@ def discard(df: DataFrame) -> None:
 class SuffixTree:
     tokens: int  # N, ends included
     distinct: int  # V
-    table: DataFrame  # key, n, value (log10) of each n-gram that has one; words have all
+    table: DataFrame  # key, n, count, value (log10): one row or two for an n-gram, whose values add up; count: of words
     hot: float  # n from which a row is broadcast
     start: float = 0.0  # value of the start mark
 
@@ -170,83 +224,73 @@ class SuffixTree:
         return F.when(count > 0, count - DISCOUNT).otherwise(DISCOUNT * self.distinct) / F.lit(float(self.tokens))
 
 
-def train(docs: DataFrame, depth: int = 3, least_context: int = 10, least_symbol: int = 2, p_root: float = 1e-6, p_context: float = 0.0, p_symbol: float = 0.0, min_divergence: float = 0.01) -> SuffixTree:
+def train(docs: DataFrame, depth: int = 3, least_context: int = 10, least_symbol: int = 3, p_root: float = 1e-6, min_divergence: float = 0.01) -> SuffixTree:
     """docs: held, text.  Learns from rows that are not held.  One pass counts words; one pass for each depth counts
-    what follows the contexts of that depth, summed in each task before the shuffle.  p_context and p_symbol can raise
-    least_context and least_symbol to shares of all positions, for a tree of bounded size."""
+    what follows the contexts of that depth, summed in each task before the shuffle."""
     learned = docs.where(~F.col("held")).select("text")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        counts = Counts()
 
-        def packed() -> pa.RecordBatch:
-            keys = np.fromiter(map(symbol_key, counts), np.uint64, len(counts)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(counts.values()), pa.int64())], names=["key", "n"])
+        def packed(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-        for _, texts in texts_in(batches):
-            for own in texts:
-                counts.update(own)
-            if len(counts) > FLUSH:
-                yield packed()
-                counts.clear()
-        yield packed()
+        for _, keys, sizes in symbols_in(batches):
+            (at,) = (x[3] for x in grams(keys, sizes, 1))
+            if full := counts.add(keys[at]):
+                yield packed(*full)
+        yield packed(*counts.rest())
 
-    vocabulary = kept(learned.mapInArrow(count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "pst-words")
+    vocabulary = materialize(learned.mapInArrow(count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "pst-words")
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tree = SuffixTree(tokens, distinct, vocabulary, max(2, math.ceil(p_root * tokens)))
     words = vocabulary.select("key", "n", tree.root(F.col("n")).alias("q"))
-    tree.table = values = words.select("key", "n", F.log10("q").alias("value"))
-    ends = vocabulary.where(F.col("key") == signed(symbol_key(END))).first()
+    none = F.lit(None).cast("long").alias("count")
+    tree.table = words.select("key", "n", F.col("n").alias("count"), F.log10("q").alias("value"))
+    ends = vocabulary.where(F.col("key") == signed(END)).first()
     if not tokens or ends is None:
         return tree
     spark = docs.sparkSession
-    least_context, least_symbol = max(2, least_context, math.ceil(p_context * tokens)), max(2, math.ceil(p_symbol * tokens), least_symbol)
-    start = spark.range(1).select(F.lit(signed(symbol_key(START))).alias("key"), F.lit(ends["n"]).alias("n"))  # once a text
+    least_context, least_symbol = max(2, least_context), max(2, least_symbol)
+    start = spark.range(1).select(F.lit(signed(START)).alias("key"), F.lit(ends["n"]).alias("n"))  # once a text
+    buckets = bucket_count(spark, tokens)
     stored = words
     contexts = words.select("key", "n").union(start).where(F.col("n") >= least_context)
     for order in range(2, depth + 2):
-        shared = spark.sparkContext.broadcast((bitmap(contexts, "key"), bitmap(stored.where(F.col("n") >= least_symbol), "key")))
+        shared = spark.sparkContext.broadcast((packed_bits(bitmap(contexts, "key")), packed_bits(bitmap(stored.where(F.col("n") >= least_symbol), "key"))))
 
         def count_next(batches: Iterator[pa.RecordBatch], shared=shared, order=order) -> Iterator[pa.RecordBatch]:
-            before, after = shared.value
-            known, held, size = Keys(), [], 0
+            before, after = map(unpacked_bits, shared.value)
+            counts = Counts()
 
-            def summed() -> list[np.ndarray]:
-                key, prefix, suffix, n = (np.concatenate(x) for x in zip(*held, strict=True))
-                key, first, where = np.unique(key, return_index=True, return_inverse=True)
-                return [key, prefix[first], suffix[first], np.bincount(where, n).astype(np.int64)]
+            def packed(key: np.ndarray, n: np.ndarray, prefix: np.ndarray, suffix: np.ndarray) -> pa.RecordBatch:
+                by_prefix = np.argsort(prefix, kind="stable")
+                return deal(bucket_of(key, buckets)[by_prefix], 0, [x[by_prefix] for x in (prefix, suffix, n)], lambda x: [*runs(x[0]), x[1], small(x[2])])
 
-            def packed(got: list[np.ndarray]) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in got[1:]], names=["prefix", "suffix", "n"])
-
-            for _, texts in texts_in(batches):
-                *_, (key, prefix, suffix, _) = grams(known, texts, order)
+            for _, keys, sizes in symbols_in(batches):
+                *_, (key, prefix, suffix, _) = grams(keys, sizes, order)
                 # a stored n-gram's prefix is a context, and its suffix is stored
                 may = np.flatnonzero(within(before, prefix))
                 may = may[within(after, suffix[may])]
-                key, first, n = np.unique(key[may], return_index=True, return_counts=True)
-                held.append([key, prefix[may][first], suffix[may][first], n])
-                size += len(key)
-                if size > 3 * FLUSH:
-                    held[:] = [summed()]
-                    size = len(held[0][0])
-                    if size > 2 * FLUSH:
-                        yield packed(held.pop())
-                        size = 0
-            if held:
-                yield packed(summed())
-
-        def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                key = gram_key(*(batch.column(c).to_numpy().view(np.uint64) for c in (0, 1)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], names=["key", *batch.schema.names])
-
-        counted = learned.mapInArrow(count_next, "prefix long, suffix long, n long").groupBy("prefix", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= least_symbol)
-        counted = kept(counted.mapInArrow(with_key, "key long, prefix long, suffix long, n long"), "pst-counted")
+                if full := counts.add(key[may], prefix[may], suffix[may]):
+                    yield packed(*full)
+            yield packed(*counts.rest(2))
+
+        def sum_up(_, entries: Iterator[tuple[int, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+            parts = [(np.repeat(prefix, times), suffix, n) for _, (prefix, times, suffix, n) in entries]
+            prefix, suffix, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            key, first, where = np.unique(gram_key(prefix, suffix), return_index=True, return_inverse=True)
+            n = np.bincount(where, n, len(key)).astype(np.int64)
+            often = n >= least_symbol
+            first = first[often]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key[often], prefix[first], suffix[first], n[often])], names=["key", "prefix", "suffix", "n"])
+
+        counted = materialize(by_bucket(learned.mapInArrow(count_next, BLOBS), sum_up, "key long, prefix long, suffix long, n long"), "pst-counted")
+        shared.destroy()
         totals = matched(counted, "prefix", contexts.select(F.col("key").alias("prefix"), "n", F.col("n").alias("total")), tree.hot)
-        totals = kept(totals, "pst-totals")
+        totals = materialize(totals, "pst-totals")
         discard(counted)
-        pairs = kept(matched(totals, "suffix", stored.select(F.col("key").alias("suffix"), "n", F.col("q").alias("shorter")), tree.hot).drop("suffix"), "pst-pairs")
+        pairs = materialize(matched(totals, "suffix", stored.select(F.col("key").alias("suffix"), "n", F.col("q").alias("shorter")), tree.hot).drop("suffix"), "pst-pairs")
         discard(totals)
 
         # a context is kept if the Kullback-Leibler divergence (nats) of its stored next symbols, and of the rest as one
@@ -265,109 +309,142 @@ def train(docs: DataFrame, depth: int = 3, least_context: int = 10, least_symbol
         rest = F.greatest(1 - F.col("inside"), F.lit(0.0))
         others = F.when((F.col("seen") < F.col("n")) & (rest > 0), rest * F.ln(rest / F.greatest(1 - F.col("outside"), F.lit(1e-12)))).otherwise(0.0)
         divergence = F.col("gain") + others - F.col("symbols") / (2 * F.col("n"))
-        tested = kept(sums.select("prefix", "n", (1 - F.col("taken")).alias("back_off"), (divergence >= min_divergence).alias("kept")), "pst-contexts")
+        tested = materialize(sums.select("prefix", "n", (1 - F.col("taken")).alias("back_off"), (divergence >= min_divergence).alias("kept")), "pst-contexts")
 
         judged = matched(pairs, "prefix", tested, tree.hot)
         own = (F.col("n") - DISCOUNT) / F.col("total") + F.col("back_off") * F.col("shorter")
         judged = judged.select("key", "n", F.when(F.col("kept"), own).otherwise(F.col("shorter")).alias("q"), F.when(F.col("kept"), F.log10(own / (F.col("back_off") * F.col("shorter")))).alias("value"))
-        stored = kept(judged, "pst-stored")
+        stored = materialize(judged, "pst-stored")
         discard(pairs)
-        values = values.union(stored.where("value is not null").select("key", "n", "value"))
-        values = values.union(tested.where("kept").select("prefix", "n", F.log10("back_off")))
+        tree.table = tree.table.union(stored.where("value is not null").select("key", "n", none, "value"))
+        tree.table = tree.table.union(tested.where("kept").select("prefix", "n", none, F.log10("back_off")))
         contexts = stored.select("key", "n").where(F.col("n") >= least_context)
-    tree.table = kept(values.groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value")), "pst-values")
-    first = tree.table.where(F.col("key") == signed(symbol_key(START))).first()
+    first = tree.table.where(F.col("key") == signed(START)).first()
     tree.start = first["value"] if first else 0.0
     return tree
 
 
-def score_documents(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
+def bucket_count(spark: SparkSession, entries: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET_ENTRIES))
+
+
+def frequent(table: DataFrame, most: int) -> int:
+    """The least n such that at most `most` rows of the table have n or more."""
+    n, left = 2, table.where("n >= 2").select(F.floor(F.log2("n")).alias("e")).groupBy("e").count().collect()  # 63 rows at most
+    above = 0
+    for e, rows in sorted(map(tuple, left), reverse=True):
+        if above + rows > most:
+            return 2 << int(e)
+        above += rows
+    return n
+
+
+def score_documents(docs: DataFrame, folds: int = 10, most_hot: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
     """Learn from the documents outside fold 0 and score them all: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score (unigrams) and score (the tree), both as log10 of the text's probability.
 
-    A task adds up what the broadcast rows of the tree give and sends one row for each other n-gram of a text that may
-    be in the tree, which a join with the tree completes; such an n-gram has less than p_root of all positions, so no
-    key of that join is hot.  Defined cases: a null or empty text is just an end; a null doc_id counts as held out;
+    A task adds up what the broadcast rows of the tree give, those of the most frequent n-grams (most_hot at most), and
+    asks for each other n-gram of a text that may be in the tree, once a text.  The rest of the tree and what is asked
+    for meet in buckets of n-grams; there the tree's rows are held, and the requests pass by.  Defined cases: a null or empty text is just an end; a null doc_id counts as held out;
     repeated ids and rows are scored each; with nothing to learn from every symbol is unknown, with probability 1;
     other columns are ignored."""
     held = fold(docs[id_col], folds) == 0
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), held.alias("held"), docs[text_col].cast("string").alias("text"))
-    tree = train(rows.select("held", "text"), **training)
+    spark = docs.sparkSession
+    with cleaning(spark):
+        tree = train(rows.select("held", "text"), **training)
+        often = frequent(tree.table, most_hot)
+        hot = tree.table.where(F.col("n") >= often).groupBy("key").agg(F.coalesce(F.max("count"), F.lit(0)).alias("count"), F.sum("value").alias("value")).toArrow()  # at most most_hot rows
+        rare = tree.table.where(F.col("n") < often).select("key", "count", "value")
+        maybe = bitmap(rare, "key")
     order = training.get("depth", 3) + 1
-    is_word = F.col("key").bitwiseAND(F.lit(1)) == 1
-    hot = tree.table.where(F.col("n") >= tree.hot).select("key", "n", "value").orderBy("key").toArrow()  # at most 1 / p_root rows of each order
-    rare = tree.table.where(F.col("n") < tree.hot)
+    hot = hot.append_column("at", pa.array(hot.column("key").to_numpy().view(np.uint64))).sort_by("at")
     weight = tree.tokens + 0.1 * (tree.distinct + 1)
-    shared = docs.sparkSession.sparkContext.broadcast((*(hot.column(c).to_numpy() for c in ("key", "n", "value")), bitmap(rare.where(~is_word), "key"), tree.start))
+    shared = spark.sparkContext.broadcast((*(hot.column(c).to_numpy() for c in ("at", "count", "value")), packed_bits(maybe), tree.start))
+    nothing_known, unknown = math.log10(0.1 / weight), math.log10(DISCOUNT * tree.distinct / tree.tokens) if tree.tokens else 0.0
+
+    buckets = bucket_count(spark, tree.tokens)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (keys, counts, values, bits, start), task, done, known = shared.value, TaskContext.get().partitionId(), 0, Keys()
-
-        def find(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Which keys are hot, and the place of each."""
-            wanted = wanted.view(np.int64)
-            if not len(keys):
-                return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            return keys[at] == wanted, at
-
-        for batch, texts in texts_in(batches):
-            n = len(texts)
-            sizes = np.array([len(t) for t in texts], np.int64)
-            of = np.repeat(np.arange(n), sizes + 1)
+        (keys, counts, values, bits, start), task, done = shared.value, TaskContext.get().partitionId(), 0
+        known, base_of, bits = Lookup(keys), np.log10((counts + 0.1) / weight), unpacked_bits(bits)
+        asked: list[list[np.ndarray]] = []
+        own: list[list[np.ndarray]] = []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(x) for x in zip(*own, strict=True)]
+            yield deal(bucket_of(columns[0].view(np.uint64) << np.uint64(33), buckets), 1, columns)
+            rid, key, times = (np.concatenate(x) for x in zip(*asked, strict=True))
+            yield deal(bucket_of(key, buckets), 2, [rid, key, times], lambda x: [*runs(x[0]), x[1], small(x[2])])
+            own.clear()
+            asked.clear()
+
+        for batch, symbols, sizes in symbols_in(batches):
+            n = len(sizes)
+            of = np.repeat(np.arange(n), sizes)
             log, base, sure = np.full(n, start), np.zeros(n), np.zeros(n, np.int64)
             sent_of, sent_keys = [], []
-            for k, (key, _, _, at) in enumerate(grams(known, texts, order)):
+            for k, (key, _, _, at) in enumerate(grams(symbols, sizes, order)):
                 text = of[at]
-                here, place = find(key)
-                log += np.bincount(text[here], values[place[here]], n)
+                here, place = known.find(key)
+                log += np.bincount(text[here], values[place], n)
+                away = ~here & within(bits, key)
                 if k == 0:
-                    base += np.bincount(text[here], np.log10((counts[place[here]] + 0.1) / weight), n)
+                    base += np.bincount(text[here], base_of[place], n)
                     sure += np.bincount(text[here], minlength=n)
-                else:
-                    here |= ~within(bits, key)
-                sent_of.append(text[~here])
-                sent_keys.append(key[~here].view(np.int64))
+                    never = np.bincount(text[~(here | away)], minlength=n)
+                    base += never * nothing_known
+                    log += never * unknown
+                sent_of.append(text[away])
+                sent_keys.append(key[away])
             whose, key = np.concatenate(sent_of), np.concatenate(sent_keys)
             ordered = np.lexsort((key, whose))
             whose, key = whose[ordered], key[ordered]
             new = np.flatnonzero(np.append(True, (whose[1:] != whose[:-1]) | (key[1:] != key[:-1])))[: len(whose)]
-            times = np.diff(np.append(new, len(whose)))
             rid = (task << 40) + done + np.arange(n)
             done += n
-            m, nothing = len(new), pa.nulls
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([rid, rid[whose[new]]])),
-                    pa.concat_arrays([nothing(n, pa.int64()), pa.array(key[new])]),
-                    pa.concat_arrays([nothing(n, pa.int64()), pa.array(times.astype(np.int64))]),
-                    pa.concat_arrays([batch.column(0), nothing(m, pa.int64())]),
-                    pa.concat_arrays([batch.column(1), nothing(m, pa.bool_())]),
-                    *[pa.concat_arrays([pa.array(x), nothing(m, pa.array(x).type)]) for x in (sizes, sure, base, log)],
-                ],
-                names=["rid", "key", "times", "doc_id", "held_out", "n_tokens", "known", "base", "log"],
-            )
-
-    parts = rows.mapInArrow(score, "rid long, key long, times long, doc_id long, held_out boolean, n_tokens long, known long, base double, log double")
-    parts = kept(parts, "pst-parts")
-    joined = parts.where("key is not null").select("rid", "key", "times").join(rare.hint("merge"), "key", "left")
-    c = F.coalesce("n", F.lit(0))
-    times = F.col("times")
-    unknown = F.log10(tree.root(F.lit(0)))
-    each = joined.select(
-        "rid",
-        F.when(is_word & (c > 0), times).otherwise(0).alias("more"),
-        F.when(is_word, times * F.log10((c + 0.1) / F.lit(weight))).otherwise(0.0).alias("base_more"),
-        (times * F.coalesce("value", F.when(is_word, unknown).otherwise(0.0))).alias("log_more"),
-    )
-    total = each.groupBy("rid").agg(F.sum("more").alias("more"), F.sum("base_more").alias("base_more"), F.sum("log_more").alias("log_more"))
-    out = parts.where("key is null").drop("key", "times").join(total.hint("merge"), "rid", "left")
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(int(tree.tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"),
-        (F.col("log") + F.coalesce("log_more", F.lit(0.0))).alias("score"),
-    )
+            ids = batch.column(0)
+            own.append([rid, ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), sizes - 1, sure, base, log])
+            asked.append([rid[whose[new]], key[new], np.diff(np.append(new, len(whose)))])
+            if sum(len(x[0]) for x in asked) > GATHERED:
+                yield from packed()
+        if own:
+            yield from packed()
+
+    def of_tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, count, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2))
+            yield deal(bucket_of(key.view(np.uint64), buckets), 0, [key.view(np.uint64), count, value])
+
+    def complete(_, entries: Iterator[tuple[int, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        """What the rows of the tree in a bucket (kind 0) add to the texts that asked for them (kind 2), and the rows of
+        the texts themselves (kind 1)."""
+        parts, tree_of = [], None
+        for kind, arrays in entries:
+            if kind == 0:
+                parts.append(arrays)
+                continue
+            if kind == 1:
+                yield rows_of(*arrays)
+                continue
+            if tree_of is None:
+                key, count, value = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, t) for t in (np.uint64, np.int64, np.float64))
+                key, where = np.unique(key, return_inverse=True)
+                count, value = np.bincount(where, count, len(key)), np.bincount(where, value, len(key))
+                tree_of, base_of = Lookup(key), np.log10((count + 0.1) / weight)
+            rid, many, key, times = arrays
+            of, times = np.repeat(np.arange(len(rid)), many), times.astype(np.float64)
+            here, place = tree_of.find(key)
+            word, n = (key & np.uint64(1)) == 1, len(rid)
+            never = word & ~here
+            found = word[here]
+            sure = np.bincount(of[here][found], times[here][found], n).astype(np.int64)
+            base = np.bincount(of[here][found], (times[here] * base_of[place])[found], n) + np.bincount(of[never], times[never], n) * nothing_known
+            log = np.bincount(of[here], times[here] * value[place], n) + np.bincount(of[never], times[never], n) * unknown
+            yield rows_of(rid, np.zeros(n, np.int64), np.ones(n, bool), np.zeros(n, bool), np.zeros(n, np.int64), sure, base, log)
+
+    rare_blobs = rare.select("key", F.coalesce("count", F.lit(0)).alias("count"), "value").mapInArrow(of_tree, BLOBS)
+    each = by_bucket(rows.mapInArrow(score, BLOBS).union(rare_blobs), complete, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, log double")
+    # every text has one row with its own columns
+    out = each.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("log").alias("log"))
+    return out.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(int(tree.tokens)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("log").alias("score"))

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -90,6 +91,14 @@ def test_host_verdicts(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_many_hosts_are_joined_without_a_broadcast_of_all(spark, docs, monkeypatch):
+    """Beyond the bound, hosts with many documents are broadcast and the others joined: the same rows."""
+    few = docs.union(docs.withColumn("source", F.lit(None).cast("string"))).union(docs.withColumn("source", F.concat(F.lit("h"), F.col("doc_id") % 50))).cache()
+    want = sorted(map(str, quality_rules.apply_quality_rules(few).collect())), sorted(map(str, quality_rules.keep_good(few, 0.2).collect()))
+    monkeypatch.setattr(quality_rules, "MOST_HOSTS", 0)
+    assert (sorted(map(str, quality_rules.apply_quality_rules(few).collect())), sorted(map(str, quality_rules.keep_good(few, 0.2).collect()))) == want
+
+
 def test_rules_on_odd_and_empty(odd, none):
     assert quality_rules.apply_quality_rules(odd).count() == odd.count()
     assert quality_rules.apply_quality_rules(none).count() == 0
@@ -184,7 +193,7 @@ def test_suffix_tree_keeps_what_recurs_in_a_larger_corpus(spark):
     n = sum(map(len, learned))
     often = sum(b"kind" in t for t in learned)
     assert 10 <= often < 1e-4 * n
-    prob, _, _, _, kept, _ = brute_tree(learned, 3, 10, 2, 0.01)
+    prob, _, _, _, kept, _ = brute_tree(learned, 3, 10, 3, 0.01)
     assert {(b"kind",), (b"kind", b"of"), (b"kind", b"of", b"blue")} & set(kept)
     for row in suffix_tree.score_documents(df).collect():
         t = tokens[row["doc_id"]]
@@ -214,6 +223,52 @@ def test_classifier_on_held_out(spark, sf):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in held)
 
 
+def plain_ftrl(rows, passes=3, alpha=1.5, beta=0.5, l1=0.02, l2=0.02):
+    """Follow the regularised leader in dictionaries: rows of (label, {feature: value})."""
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(passes):
+        for y, x in rows:
+            x = {**x, "bias": 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_weights_match_plain_ftrl(spark):
+    """The whole fit: sample by hash, one row for each id and text, order, updates."""
+    import random
+
+    r = random.Random(6)
+    rows = [(i % 90, " ".join(r.choice(["good", "fine", "text"] if i % 2 else ["spam", "!!!", "buy", "text"]) for _ in range(r.randint(1, 12)))) for i in range(120)]
+    rows += [rows[0]] * 40 + [(None, "no id"), (3, None)]
+    labels = [(i, i % 2) for i in range(90)] + [(5, 0), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = quality_classifier.fit(df, known, max_rows=60)
+    both = {i for i, _ in labels if len({y for j, y in labels if j == i and y is not None}) > 1}
+    y = {i: q for i, q in labels if q is not None and i not in both and zlib.crc32(str(i).encode()) % 5}
+    order = {r["id"]: r["h"] for r in spark.range(100).select("id", F.xxhash64("id").alias("h")).collect()}
+    digest = lambda t: hashlib.md5((t or "").encode()).hexdigest()
+    ids = sorted(y, key=lambda i: (order[i], i))[:60]
+    sample = sorted({(order[i], i, digest(t), t or "") for i, t in rows if i in ids})[:60]
+    features = quality_classifier.Features()
+    plain = plain_ftrl([(y[i], dict(zip(*(a.tolist() for a in features.sparse([t])[0]), strict=True))) for _, i, _, t in sample])
+    want = np.zeros(quality_classifier.BUCKETS + 1)
+    for i, w in plain.items():
+        want[quality_classifier.BUCKETS if i == "bias" else i] = w
+    assert np.abs(want).max() > 0.1 and got == pytest.approx(want, abs=1e-5)
+
+
 def test_classifier_on_odd_and_empty(spark, odd, none):
     labels = spark.createDataFrame([(1, 0), (1, 1), (3, 1), (5, 0), (None, 1), (8, None), (10, 1), (10, 1), (16, 0)], "doc_id long, quality int")
     got = quality_classifier.classify(odd, labels).collect()
