@@ -11,12 +11,13 @@ The tree is a table.  In a kept context c with back-off weight b(c) the probabil
 
 so log p is a sum over n-grams that end at the position: the root's log p(s), log b(c) for each kept context, and for
 each stored next symbol what it adds to plain back-off.  An n-gram is also the context that comes before the next
-symbol, hence one row (key, n, value) for each n-gram, and a text's score is the sum of the values of its n-grams.
+symbol, hence rows (key, n, value) for each n-gram, and a text's score is the sum of the values of its n-grams.
 
 Only bounded things are collected and broadcast: n-grams that hold a share p_root of all positions (at most 1/p_root of
-each order), and bitmaps of a fixed size that tell which n-grams cannot be in a table; a bitmap that fills up lets more
-rows through, which the joins then drop.  Everything else is a join, of which no key is hot.  Words and n-grams are
-told apart by 63-bit hashes: n of them have about n**2 / 2**64 colliding pairs."""
+each order, for joins), the most frequent rows of the tree (a fixed number, for scoring), and bitmaps of a fixed size
+that tell which n-grams cannot be in a table; a bitmap that fills up lets more rows through, which are then dropped.
+Everything else is a join of which no key is hot, or meets in buckets of n-grams.  Words and n-grams are told apart by
+63-bit hashes: n of them have about n**2 / 2**64 colliding pairs."""
 
 from __future__ import annotations
 
@@ -224,7 +225,7 @@ class SuffixTree:
         return F.when(count > 0, count - DISCOUNT).otherwise(DISCOUNT * self.distinct) / F.lit(float(self.tokens))
 
 
-def train(docs: DataFrame, depth: int = 3, least_context: int = 10, least_symbol: int = 3, p_root: float = 1e-6, min_divergence: float = 0.01) -> SuffixTree:
+def train(docs: DataFrame, depth: int = 3, least_context: int = 10, least_symbol: int = 3, p_root: float = 1e-4, min_divergence: float = 0.01) -> SuffixTree:
     """docs: held, text.  Learns from rows that are not held.  One pass counts words; one pass for each depth counts
     what follows the contexts of that depth, summed in each task before the shuffle."""
     learned = docs.where(~F.col("held")).select("text")
