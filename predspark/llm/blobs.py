@@ -11,8 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 #: Entries of a bucket, about; entries that a task gathers before it deals them.
-BUCKET_ENTRIES, GATHERED = 4_000_000, 1_000_000
+BUCKET_ENTRIES, GATHERED = 1_000_000, 400_000
 
 SCHEMA = "bucket int, kind int, payload binary"
 
@@ -39,6 +41,14 @@ def small(n: np.ndarray) -> np.ndarray:
     return n.astype(np.min_scalar_type(int(n.max()) if len(n) else 0))
 
 
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, and the sums of n."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+    return key[first], order[first], np.add.reduceat(n[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+
+
 def runs(x: np.ndarray) -> list[np.ndarray]:
     """Values of a column with equal neighbours, and how often each comes."""
     first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))[: len(x)]
@@ -51,10 +61,12 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def deal(bucket: np.ndarray, kind: int, columns: list[np.ndarray], encode: Callable[[list[np.ndarray]], list[np.ndarray]] = list) -> pa.RecordBatch:
     """A row for each bucket that has entries; entries keep their order within it."""
-    order = np.argsort(bucket, kind="stable")
-    columns = [c[order] for c in columns]
-    names, first = np.unique(bucket[order], return_index=True)
-    ends = np.append(first, len(order))
+    names, first = np.unique(bucket, return_index=True) if (np.diff(bucket) >= 0).all() else (None, None)
+    if names is None:
+        order = np.argsort(bucket, kind="stable")
+        columns = [c[order] for c in columns]
+        names, first = np.unique(bucket[order], return_index=True)
+    ends = np.append(first, len(bucket))
     payload = [pack(encode([c[s:e] for c in columns])) for s, e in zip(ends, ends[1:], strict=False)]
     return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(np.full(len(names), kind, np.int32)), pa.array(payload, pa.binary())], names=["bucket", "kind", "payload"])
 
@@ -85,4 +97,4 @@ def by_bucket(dealt: DataFrame, work: Callable[[int, Iterator[tuple[int, list[np
             for _ in mine:
                 pass
 
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, schema)
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(tidy(run), schema)

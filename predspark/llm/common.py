@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +45,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch for Python workers, of which the JVM and the worker hold several copies in several forms.
+BATCH_BYTES = 8 << 20
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run in here hand batches of about BATCH_BYTES to Python, whole rows of any size."""
+    before = spark.conf.get(BATCHES, "64m")
+    spark.conf.set(BATCHES, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCHES, before)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """What run makes of a task's batches; what it held goes back to the system when it ends, as workers are kept."""
+
+    def whole(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+    return whole
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null text has none."""
     return F.coalesce(F.array_remove(F.split(text, GAP), ""), F.array().cast("array<string>"))
@@ -83,4 +117,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["GAP", "WORD", "expand", "global_prefix", "matched", "materialize", "shared_path", "shared_root", "ship_package", "table"]
+__all__ = ["GAP", "WORD", "expand", "global_prefix", "matched", "materialize", "shared_path", "shared_root", "ship_package", "small_batches", "table", "tidy"]

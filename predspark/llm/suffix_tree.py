@@ -33,16 +33,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blobs import BUCKET_ENTRIES, GATHERED, bucket_of, by_bucket, deal, runs, small
+from .blobs import BUCKET_ENTRIES, GATHERED, bucket_of, by_bucket, deal, runs, small, summed
 from .blobs import SCHEMA as BLOBS
-from .common import matched, materialize
+from .common import matched, materialize, small_batches, tidy
 from .quality_classifier import fold
 from .word_hash import WordHasher
 
 #: Keys of the end of a text and of the mark before its first word: odd, as keys of words are.
 END, START = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 #: Entries of a task's counter at which it is summed, and half of those at which it is sent on.
-FLUSH = GATHERED
+FLUSH = 1_000_000
 #: Bits of a bitmap.
 BITS = 27
 DISCOUNT = 0.5
@@ -98,7 +98,7 @@ class Counts:
 
     def add(self, key: np.ndarray, *columns: np.ndarray) -> list[np.ndarray] | None:
         key, first, n = np.unique(key, return_index=True, return_counts=True)
-        self.held.append([key, n.astype(np.int64), *[c[first] for c in columns]])
+        self.held.append([key, n.astype(np.int32), *[c[first] for c in columns]])
         self.size += len(key)
         if self.size > FLUSH:
             self.held = [self.summed()]
@@ -108,9 +108,13 @@ class Counts:
         return None
 
     def summed(self) -> list[np.ndarray]:
-        key, n, *columns = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        key, first, where = np.unique(key, return_index=True, return_inverse=True)
-        return [key, np.bincount(where, n, len(key)).astype(np.int64), *[c[first] for c in columns]]
+        parts = list(zip(*self.held, strict=True))
+        self.held = []
+        key, first, n = summed(np.concatenate(parts.pop(0)), np.concatenate(parts.pop(0)))
+        out = [key, n]
+        while parts:  # a column at a time
+            out.append(np.concatenate(parts.pop(0))[first])
+        return out
 
     def rest(self, columns: int = 0) -> list[np.ndarray]:
         """All that is held, which is then forgotten; nothing: as many columns without rows."""
@@ -242,7 +246,7 @@ def train(docs: DataFrame, depth: int = 3, least_context: int = 10, least_symbol
                 yield packed(*full)
         yield packed(*counts.rest())
 
-    vocabulary = materialize(learned.mapInArrow(count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "pst-words")
+    vocabulary = materialize(learned.mapInArrow(tidy(count_words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "pst-words")
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tree = SuffixTree(tokens, distinct, vocabulary, max(2, math.ceil(p_root * tokens)))
     words = vocabulary.select("key", "n", tree.root(F.col("n")).alias("q"))
@@ -264,9 +268,17 @@ def train(docs: DataFrame, depth: int = 3, least_context: int = 10, least_symbol
             before, after = map(unpacked_bits, shared.value)
             counts = Counts()
 
-            def packed(key: np.ndarray, n: np.ndarray, prefix: np.ndarray, suffix: np.ndarray) -> pa.RecordBatch:
-                by_prefix = np.argsort(prefix, kind="stable")
-                return deal(bucket_of(key, buckets)[by_prefix], 0, [x[by_prefix] for x in (prefix, suffix, n)], lambda x: [*runs(x[0]), x[1], small(x[2])])
+            def packed(counted: list[np.ndarray]) -> pa.RecordBatch:
+                key, n, prefix, suffix = counted
+                counted.clear()
+                bucket = bucket_of(key, buckets)
+                del key
+                order = np.lexsort((prefix, bucket))
+                bucket, n = bucket[order], n[order]
+                prefix = prefix[order]
+                suffix = suffix[order]
+                del order
+                return deal(bucket, 0, [prefix, suffix, n], lambda x: [*runs(x[0]), x[1], small(x[2])])
 
             for _, keys, sizes in symbols_in(batches):
                 *_, (key, prefix, suffix, _) = grams(keys, sizes, order)
@@ -274,19 +286,19 @@ def train(docs: DataFrame, depth: int = 3, least_context: int = 10, least_symbol
                 may = np.flatnonzero(within(before, prefix))
                 may = may[within(after, suffix[may])]
                 if full := counts.add(key[may], prefix[may], suffix[may]):
-                    yield packed(*full)
-            yield packed(*counts.rest(2))
+                    yield packed(full)
+            yield packed(counts.rest(2))
 
         def sum_up(_, entries: Iterator[tuple[int, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
             parts = [(np.repeat(prefix, times), suffix, n) for _, (prefix, times, suffix, n) in entries]
             prefix, suffix, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            key, first, where = np.unique(gram_key(prefix, suffix), return_index=True, return_inverse=True)
-            n = np.bincount(where, n, len(key)).astype(np.int64)
+            parts.clear()
+            key, first, n = summed(gram_key(prefix, suffix), n)
             often = n >= least_symbol
             first = first[often]
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key[often], prefix[first], suffix[first], n[often])], names=["key", "prefix", "suffix", "n"])
 
-        counted = materialize(by_bucket(learned.mapInArrow(count_next, BLOBS), sum_up, "key long, prefix long, suffix long, n long"), "pst-counted")
+        counted = materialize(by_bucket(learned.mapInArrow(tidy(count_next), BLOBS), sum_up, "key long, prefix long, suffix long, n long"), "pst-counted")
         shared.destroy()
         totals = matched(counted, "prefix", contexts.select(F.col("key").alias("prefix"), "n", F.col("n").alias("total")), tree.hot)
         totals = materialize(totals, "pst-totals")
@@ -352,7 +364,7 @@ def score_documents(docs: DataFrame, folds: int = 10, most_hot: int = 1 << 20, i
     held = fold(docs[id_col], folds) == 0
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), held.alias("held"), docs[text_col].cast("string").alias("text"))
     spark = docs.sparkSession
-    with cleaning(spark):
+    with cleaning(spark), small_batches(spark):
         tree = train(rows.select("held", "text"), **training)
         often = frequent(tree.table, most_hot)
         hot = tree.table.where(F.col("n") >= often).groupBy("key").agg(F.coalesce(F.max("count"), F.lit(0)).alias("count"), F.sum("value").alias("value")).toArrow()  # at most most_hot rows
@@ -368,17 +380,17 @@ def score_documents(docs: DataFrame, folds: int = 10, most_hot: int = 1 << 20, i
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (keys, counts, values, bits, start), task, done = shared.value, TaskContext.get().partitionId(), 0
-        known, base_of, bits = Lookup(keys), np.log10((counts + 0.1) / weight), unpacked_bits(bits)
+        known, bits = Lookup(keys), unpacked_bits(bits)
         asked: list[list[np.ndarray]] = []
         own: list[list[np.ndarray]] = []
 
         def packed() -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(x) for x in zip(*own, strict=True)]
+            own.clear()
             yield deal(bucket_of(columns[0].view(np.uint64) << np.uint64(33), buckets), 1, columns)
             rid, key, times = (np.concatenate(x) for x in zip(*asked, strict=True))
-            yield deal(bucket_of(key, buckets), 2, [rid, key, times], lambda x: [*runs(x[0]), x[1], small(x[2])])
-            own.clear()
             asked.clear()
+            yield deal(bucket_of(key, buckets), 2, [rid, key, times], lambda x: [*runs(x[0]), x[1], small(x[2])])
 
         for batch, symbols, sizes in symbols_in(batches):
             n = len(sizes)
@@ -391,7 +403,7 @@ def score_documents(docs: DataFrame, folds: int = 10, most_hot: int = 1 << 20, i
                 log += np.bincount(text[here], values[place], n)
                 away = ~here & within(bits, key)
                 if k == 0:
-                    base += np.bincount(text[here], base_of[place], n)
+                    base += np.bincount(text[here], np.log10((counts[place] + 0.1) / weight), n)
                     sure += np.bincount(text[here], minlength=n)
                     never = np.bincount(text[~(here | away)], minlength=n)
                     base += never * nothing_known
@@ -399,6 +411,7 @@ def score_documents(docs: DataFrame, folds: int = 10, most_hot: int = 1 << 20, i
                 sent_of.append(text[away])
                 sent_keys.append(key[away])
             whose, key = np.concatenate(sent_of), np.concatenate(sent_keys)
+            sent_of = sent_keys = None
             ordered = np.lexsort((key, whose))
             whose, key = whose[ordered], key[ordered]
             new = np.flatnonzero(np.append(True, (whose[1:] != whose[:-1]) | (key[1:] != key[:-1])))[: len(whose)]
@@ -445,7 +458,7 @@ def score_documents(docs: DataFrame, folds: int = 10, most_hot: int = 1 << 20, i
             yield rows_of(rid, np.zeros(n, np.int64), np.ones(n, bool), np.zeros(n, bool), np.zeros(n, np.int64), sure, base, log)
 
     rare_blobs = rare.select("key", F.coalesce("count", F.lit(0)).alias("count"), "value").mapInArrow(of_tree, BLOBS)
-    each = by_bucket(rows.mapInArrow(score, BLOBS).union(rare_blobs), complete, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, log double")
+    each = by_bucket(rows.mapInArrow(tidy(score), BLOBS).union(rare_blobs), complete, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, log double")
     # every text has one row with its own columns
     out = each.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("log").alias("log"))
     return out.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(int(tree.tokens)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("log").alias("score"))

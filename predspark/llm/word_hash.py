@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes that are looked at together; a longer text is cut at its white space.
-WINDOW = 1 << 21
+#: Bytes that are looked at together, in arrays of 8 bytes for each; a longer text is cut at its white space.
+WINDOW = 1 << 19
 
 _draw = np.random.Generator(np.random.Philox(20))
 _PLAIN = _draw.integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
