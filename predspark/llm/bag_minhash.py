@@ -13,8 +13,8 @@ SHINGLE = 5
 #: Components of a signature, in BANDS bands of ROWS: at a similarity of 0.8 one pair in 2e7 shares no band.
 ROWS, BANDS = 4, 32
 SIZE = ROWS * BANDS
-#: Distinct words that a worker remembers; shingles whose signatures are drawn together.
-REMEMBERED, TOGETHER = 400_000, 1_500_000
+#: Distinct words that a worker remembers; shingles whose signatures are drawn together, in some 20 arrays as long.
+REMEMBERED, TOGETHER = 200_000, 200_000
 
 
 class Shingler:

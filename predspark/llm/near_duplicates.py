@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 
 from .bag_minhash import SIZE, Shingler, bands, signatures, weighted_jaccard
 from .bpe import slices
-from .common import WORD, matched, materialize
+from .common import WORD, matched, materialize, small_batches, tidy
 
 BLOCK = 512
 PIVOTS = 8
+#: Characters of texts whose shingles a worker holds at once.
+SLICE = 1_000_000
 #: Keys of documents (a digest and an id) up to which they are broadcast, so that other texts are not shuffled.
 MOST_KEYS = 400_000
 #: The share of pairs at the similarity asked for that a step may fail: about one in five million.
@@ -220,7 +222,7 @@ def by_group(df: DataFrame, keys: list[str], work: Callable[..., Iterator[Row]],
 
     # a number of partitions: by bytes alone Spark would leave this work to a few tasks
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(*keys, *columns).repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.select(*keys, *columns).repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), schema)
 
 
 def connected_with_most(masks: DataFrame, key: str) -> DataFrame:
@@ -280,6 +282,11 @@ def links(members: DataFrame, key: str, linker: Agreement, block: int, hot: floa
 def labelled_documents(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, h (the digest of its text) and label (the same in a class); h and label are
     null for a document without words."""
+    with small_batches(docs.sparkSession):
+        return _labelled(docs, similarity, block, id_col, text_col)
+
+
+def _labelled(docs: DataFrame, similarity: float, block: int, id_col: str, text_col: str) -> DataFrame:
     text = docs[text_col].cast("string")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("h"), text.alias("text"))
     agree, band_rows = least_agreement(similarity), rows_of_bands(similarity)
@@ -290,7 +297,7 @@ def labelled_documents(docs: DataFrame, similarity: float = 0.8, block: int = BL
             texts, digests = batch.column("text").to_pylist(), batch.column("h").to_pylist()
             seen: set[bytes] = set()
             none: set[bytes] = set()  # digests of texts without words, of the whole batch like seen
-            for part in slices([t or "" for t in texts], 8_000_000):
+            for part in slices([t or "" for t in texts], SLICE):
                 first = [i for i in range(*part.indices(len(texts))) if texts[i] is not None and not (digests[i] in seen or seen.add(digests[i]))]
                 bags = shingler.bags([texts[i] for i in first])
                 signed = signatures(bags)
@@ -308,7 +315,7 @@ def labelled_documents(docs: DataFrame, similarity: float = 0.8, block: int = BL
                     names=["doc_id", "h", "bands", "marks"],
                 )
 
-    signed = materialize(rows.mapInArrow(sign, "doc_id long, h binary, bands array<long>, marks binary"), "near-signed")
+    signed = materialize(rows.mapInArrow(tidy(sign), "doc_id long, h binary, bands array<long>, marks binary"), "near-signed")
 
     # 1. buckets of different texts; several tasks may have signed one text
     texts = materialize(signed.where("bands is not null").select("h", "bands", "marks").dropDuplicates(["h"]), "near-texts")
@@ -334,7 +341,7 @@ def labelled_documents(docs: DataFrame, similarity: float = 0.8, block: int = BL
         shingler = Shingler()
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for part in slices(texts, 8_000_000):
+            for part in slices(texts, SLICE):
                 bags = shingler.bags(texts[part])
                 signed = signatures(bags)
                 yield pa.RecordBatch.from_arrays(
@@ -348,7 +355,7 @@ def labelled_documents(docs: DataFrame, similarity: float = 0.8, block: int = BL
                     names=["h", "cluster", "n", "bands", "marks", "shingles", "weights"],
                 )
 
-    bagged = wanted.mapInArrow(bag, "h binary, cluster binary, n long, bands binary, marks binary, shingles binary, weights binary")
+    bagged = wanted.mapInArrow(tidy(bag), "h binary, cluster binary, n long, bands binary, marks binary, shingles binary, weights binary")
     if not sizes.where(F.col("n") > block).isEmpty():
         bagged = materialize(bagged, "near-bags")
     classes = components(links(bagged, "cluster", Similarity(agree, similarity), block, hot, "near-clusters"), "near-classes")

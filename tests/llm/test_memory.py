@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from predspark.llm import common, suffix_tree
+from predspark.llm import bag_minhash, common, near_duplicates, suffix_tree
 
 from .conftest import prose
 
@@ -45,16 +45,26 @@ def test_counts_are_summed_a_column_at_a_time():
     assert [len(x) for x in counts.rest(2)] == [0, 0, 0, 0]
 
 
+def test_signatures_are_drawn_in_small_groups():
+    key = drawn(1_200_000)
+    bags = [(np.sort(key[s : s + 20_000]), np.ones(20_000, np.int64)) for s in range(0, len(key), 20_000)]
+    out = []
+    assert peak_mb(lambda: out.append(bag_minhash.signatures(bags))) < 30  # 86 before
+    assert (out[0][7] == bag_minhash.signatures(bags[7:8])[0]).all()
+
+
 def test_workers_get_small_batches(spark, monkeypatch):
     seen = []
 
-    def noted(df, name, _f=suffix_tree.materialize):
+    def noted(df, name, _f=near_duplicates.materialize):
         seen.append(spark.conf.get(common.BATCHES))
         return _f(df, name)
 
+    monkeypatch.setattr(near_duplicates, "materialize", noted)
     monkeypatch.setattr(suffix_tree, "materialize", noted)
     before = spark.conf.get(common.BATCHES, "64m")
     df = spark.createDataFrame([(k, prose(k % 5)) for k in range(40)], "doc_id long, text string")
+    assert near_duplicates.near_duplicates(df).where("class_size = 8").count() == 40
     assert suffix_tree.score_documents(df).count() == 40
     assert seen and set(seen) == {str(common.BATCH_BYTES)}
     assert spark.conf.get(common.BATCHES) == before
