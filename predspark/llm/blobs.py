@@ -41,9 +41,28 @@ def small(n: np.ndarray) -> np.ndarray:
     return n.astype(np.min_scalar_type(int(n.max()) if len(n) else 0))
 
 
+def ordered(key: np.ndarray) -> np.ndarray:
+    """The stable order of keys that are hashes: numpy sorts values faster than places, so a place takes the lower bits
+    of its key, and where that leaves keys out of order they are sorted as they are."""
+    low = np.uint64((1 << len(key).bit_length()) - 1)
+    order = (np.sort((key & ~low) | np.arange(len(key), dtype=np.uint64)) & low).astype(np.int64)
+    now = key[order]
+    return order if (now[1:] >= now[:-1]).all() else np.argsort(key, kind="stable")
+
+
+def grouped(group: np.ndarray, groups: int, key: np.ndarray) -> np.ndarray:
+    """An order by group (below groups), within which equal keys are mostly neighbours: by as many upper bits of the key
+    as there is room for."""
+    top, low = groups.bit_length(), len(key).bit_length()
+    x = group.astype(np.uint64) << np.uint64(64 - top) | np.arange(len(key), dtype=np.uint64)
+    if (room := 64 - top - low) > 0:
+        x |= key >> np.uint64(64 - room) << np.uint64(low)
+    return (np.sort(x) & np.uint64((1 << low) - 1)).astype(np.int64)
+
+
 def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, a place of each, and the sums of n."""
-    order = np.argsort(key, kind="stable")
+    order = ordered(key)
     key = key[order]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
     return key[first], order[first], np.add.reduceat(n[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
@@ -63,7 +82,7 @@ def deal(bucket: np.ndarray, kind: int, columns: list[np.ndarray], encode: Calla
     """A row for each bucket that has entries; entries keep their order within it."""
     names, first = np.unique(bucket, return_index=True) if (np.diff(bucket) >= 0).all() else (None, None)
     if names is None:
-        order = np.argsort(bucket, kind="stable")
+        order = np.sort(bucket.astype(np.int64) << 32 | np.arange(len(bucket))) & 0xFFFFFFFF
         columns = [c[order] for c in columns]
         names, first = np.unique(bucket[order], return_index=True)
     ends = np.append(first, len(bucket))

@@ -26,6 +26,7 @@ import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blobs import BUCKET_ENTRIES, GATHERED, bucket_of, by_bucket, deal, runs, small, summed
+from .blobs import BUCKET_ENTRIES, GATHERED, bucket_of, by_bucket, deal, grouped, ordered, runs, small, summed
 from .blobs import SCHEMA as BLOBS
 from .common import matched, materialize, small_batches, tidy
 from .quality_classifier import fold
-from .word_hash import WordHasher
+from .word_hash import WordHasher, mixed
 
 #: Keys of the end of a text and of the mark before its first word: odd, as keys of words are.
 END, START = 0x5851F42D4C957F2D, 0x14057B7EF767814F
@@ -46,6 +47,9 @@ FLUSH = 1_000_000
 #: Bits of a bitmap.
 BITS = 27
 DISCOUNT = 0.5
+#: What is on disk at a time: counts of n-grams are shuffled in passes, one for each PASSES-th of all positions whose
+#: context is common, and what is asked for in SHARES of the texts; fewer for less than PASS_TOKENS positions each.
+PASS_TOKENS, PASSES, SHARES = 1_000_000, 3, 6
 
 
 def symbols_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -89,6 +93,11 @@ def grams(keys: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.
         yield keys[at], prefix, suffix, at
 
 
+def in_pass(keys: np.ndarray, number: int, passes: int) -> np.ndarray:
+    """Which n-grams a pass counts: by bits that do not pick their bucket."""
+    return (keys >> np.uint64(1) & np.uint64(0xFFFF)) % np.uint64(passes) == np.uint64(number)
+
+
 class Counts:
     """How often keys come, with columns that go with each key; sent on when it holds too many distinct ones."""
 
@@ -97,7 +106,13 @@ class Counts:
         self.size = 0
 
     def add(self, key: np.ndarray, *columns: np.ndarray) -> list[np.ndarray] | None:
-        key, first, n = np.unique(key, return_index=True, return_counts=True)
+        if columns:
+            order = ordered(key)
+            key = key[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+            key, n, first = key[first], np.diff(np.append(first, len(key))), order[first]
+        else:
+            key, n = np.unique(key, return_counts=True)
         self.held.append([key, n.astype(np.int32), *[c[first] for c in columns]])
         self.size += len(key)
         if self.size > FLUSH:
@@ -160,12 +175,6 @@ def within(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
 
 
-def rows_of(rid: np.ndarray, ids: np.ndarray, missing: np.ndarray, held: np.ndarray, tokens: np.ndarray, known: np.ndarray, base: np.ndarray, log: np.ndarray) -> pa.RecordBatch:
-    """What is known of texts so far: sums, and the columns of the text itself in one of its rows."""
-    columns = [pa.array(rid), pa.array(ids, mask=missing), pa.array(held), pa.array(tokens), pa.array(known), pa.array(base), pa.array(log)]
-    return pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "log"])
-
-
 class Lookup:
     """Places of keys in a sorted array of keys that are hashes: their upper bits pick a bucket of one or two."""
 
@@ -220,6 +229,7 @@ class SuffixTree:
     distinct: int  # V
     table: DataFrame  # key, n, count, value (log10): one row or two for an n-gram, whose values add up; count: of words
     hot: float  # n from which a row is broadcast
+    files: list[DataFrame]  # what the table is read from
     start: float = 0.0  # value of the start mark
 
     def root(self, count: Column) -> Column:
@@ -248,7 +258,7 @@ def train(docs: DataFrame, depth: int = 3, least_context: int = 10, least_symbol
 
     vocabulary = materialize(learned.mapInArrow(tidy(count_words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "pst-words")
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = SuffixTree(tokens, distinct, vocabulary, max(2, math.ceil(p_root * tokens)))
+    tree = SuffixTree(tokens, distinct, vocabulary, max(2, math.ceil(p_root * tokens)), [vocabulary])
     words = vocabulary.select("key", "n", tree.root(F.col("n")).alias("q"))
     none = F.lit(None).cast("long").alias("count")
     tree.table = words.select("key", "n", F.col("n").alias("count"), F.log10("q").alias("value"))
@@ -258,13 +268,15 @@ def train(docs: DataFrame, depth: int = 3, least_context: int = 10, least_symbol
     spark = docs.sparkSession
     least_context, least_symbol = max(2, least_context), max(2, least_symbol)
     start = spark.range(1).select(F.lit(signed(START)).alias("key"), F.lit(ends["n"]).alias("n"))  # once a text
-    buckets = bucket_count(spark, tokens)
     stored = words
     contexts = words.select("key", "n").union(start).where(F.col("n") >= least_context)
     for order in range(2, depth + 2):
+        followed = contexts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        passes = max(1, min(PASSES, tokens // PASS_TOKENS, math.ceil(PASSES * followed / tokens)))
+        buckets = bucket_count(spark, followed // passes)
         shared = spark.sparkContext.broadcast((packed_bits(bitmap(contexts, "key")), packed_bits(bitmap(stored.where(F.col("n") >= least_symbol), "key"))))
 
-        def count_next(batches: Iterator[pa.RecordBatch], shared=shared, order=order) -> Iterator[pa.RecordBatch]:
+        def count_next(batches: Iterator[pa.RecordBatch], number: int, shared=shared, order=order, passes=passes, buckets=buckets) -> Iterator[pa.RecordBatch]:
             before, after = map(unpacked_bits, shared.value)
             counts = Counts()
 
@@ -273,7 +285,7 @@ def train(docs: DataFrame, depth: int = 3, least_context: int = 10, least_symbol
                 counted.clear()
                 bucket = bucket_of(key, buckets)
                 del key
-                order = np.lexsort((prefix, bucket))
+                order = grouped(bucket, buckets, prefix)
                 bucket, n = bucket[order], n[order]
                 prefix = prefix[order]
                 suffix = suffix[order]
@@ -283,7 +295,8 @@ def train(docs: DataFrame, depth: int = 3, least_context: int = 10, least_symbol
             for _, keys, sizes in symbols_in(batches):
                 *_, (key, prefix, suffix, _) = grams(keys, sizes, order)
                 # a stored n-gram's prefix is a context, and its suffix is stored
-                may = np.flatnonzero(within(before, prefix))
+                may = np.flatnonzero(in_pass(key, number, passes))
+                may = may[within(before, prefix[may])]
                 may = may[within(after, suffix[may])]
                 if full := counts.add(key[may], prefix[may], suffix[may]):
                     yield packed(full)
@@ -298,8 +311,9 @@ def train(docs: DataFrame, depth: int = 3, least_context: int = 10, least_symbol
             first = first[often]
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key[often], prefix[first], suffix[first], n[often])], names=["key", "prefix", "suffix", "n"])
 
-        counted = materialize(by_bucket(learned.mapInArrow(tidy(count_next), BLOBS), sum_up, "key long, prefix long, suffix long, n long"), "pst-counted")
+        parts = [materialize(by_bucket(learned.mapInArrow(tidy(partial(count_next, number=k)), BLOBS), sum_up, "key long, prefix long, suffix long, n long"), "pst-counted") for k in range(passes)]
         shared.destroy()
+        counted = reduce(DataFrame.union, parts)
         totals = matched(counted, "prefix", contexts.select(F.col("key").alias("prefix"), "n", F.col("n").alias("total")), tree.hot)
         totals = materialize(totals, "pst-totals")
         discard(counted)
@@ -328,6 +342,7 @@ def train(docs: DataFrame, depth: int = 3, least_context: int = 10, least_symbol
         own = (F.col("n") - DISCOUNT) / F.col("total") + F.col("back_off") * F.col("shorter")
         judged = judged.select("key", "n", F.when(F.col("kept"), own).otherwise(F.col("shorter")).alias("q"), F.when(F.col("kept"), F.log10(own / (F.col("back_off") * F.col("shorter")))).alias("value"))
         stored = materialize(judged, "pst-stored")
+        tree.files += [tested, stored]
         discard(pairs)
         tree.table = tree.table.union(stored.where("value is not null").select("key", "n", none, "value"))
         tree.table = tree.table.union(tested.where("kept").select("prefix", "n", none, F.log10("back_off")))
@@ -341,15 +356,17 @@ def bucket_count(spark: SparkSession, entries: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET_ENTRIES))
 
 
-def frequent(table: DataFrame, most: int) -> int:
-    """The least n such that at most `most` rows of the table have n or more."""
-    n, left = 2, table.where("n >= 2").select(F.floor(F.log2("n")).alias("e")).groupBy("e").count().collect()  # 63 rows at most
-    above = 0
-    for e, rows in sorted(map(tuple, left), reverse=True):
-        if above + rows > most:
-            return 2 << int(e)
-        above += rows
-    return n
+def frequent(table: DataFrame, most: int) -> tuple[int, int]:
+    """The least n such that at most `most` rows of the table have n or more, and how many rows have less."""
+    left = table.select(F.floor(F.log2("n")).alias("e")).groupBy("e").count().collect()  # 64 rows at most
+    rows = sum(row["count"] for row in left)
+    n, above = 1, 0
+    for e, here in sorted(map(tuple, left), reverse=True):
+        if above + here > most or e == 0:
+            n = 2 << int(e)
+            break
+        above += here
+    return n, rows - above
 
 
 def score_documents(docs: DataFrame, folds: int = 10, most_hot: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
@@ -358,17 +375,20 @@ def score_documents(docs: DataFrame, folds: int = 10, most_hot: int = 1 << 20, i
 
     A task adds up what the broadcast rows of the tree give, those of the most frequent n-grams (most_hot at most), and
     asks for each other n-gram of a text that may be in the tree, once a text.  The rest of the tree and what is asked
-    for meet in buckets of n-grams; there the tree's rows are held, and the requests pass by.  Defined cases: a null or empty text is just an end; a null doc_id counts as held out;
-    repeated ids and rows are scored each; with nothing to learn from every symbol is unknown, with probability 1;
+    for meet in buckets of n-grams; there the tree's rows are held, and the requests pass by.  Texts are gathered some
+    hundred at a time; what a bucket answers to them is one row, and the answers meet at a home of theirs.  This is done
+    for a share of the texts after the other, so what is asked for lies on disk for one share at a time; the share
+    follows from a row's id and text.  Defined cases: a null or empty text is just an end; a null doc_id counts as held
+    out; repeated ids and rows are scored each; with nothing to learn from every symbol is unknown, with probability 1;
     other columns are ignored."""
     held = fold(docs[id_col], folds) == 0
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), held.alias("held"), docs[text_col].cast("string").alias("text"))
     spark = docs.sparkSession
     with cleaning(spark), small_batches(spark):
         tree = train(rows.select("held", "text"), **training)
-        often = frequent(tree.table, most_hot)
+        often, rare_rows = frequent(tree.table, most_hot)
         hot = tree.table.where(F.col("n") >= often).groupBy("key").agg(F.coalesce(F.max("count"), F.lit(0)).alias("count"), F.sum("value").alias("value")).toArrow()  # at most most_hot rows
-        rare = tree.table.where(F.col("n") < often).select("key", "count", "value")
+        rare = tree.table.where(F.col("n") < often).select("key", F.coalesce("count", F.lit(0)).alias("count"), "value")
         maybe = bitmap(rare, "key")
     order = training.get("depth", 3) + 1
     hot = hot.append_column("at", pa.array(hot.column("key").to_numpy().view(np.uint64))).sort_by("at")
@@ -376,7 +396,7 @@ def score_documents(docs: DataFrame, folds: int = 10, most_hot: int = 1 << 20, i
     shared = spark.sparkContext.broadcast((*(hot.column(c).to_numpy() for c in ("at", "count", "value")), packed_bits(maybe), tree.start))
     nothing_known, unknown = math.log10(0.1 / weight), math.log10(DISCOUNT * tree.distinct / tree.tokens) if tree.tokens else 0.0
 
-    buckets = bucket_count(spark, tree.tokens)
+    buckets = bucket_count(spark, rare_rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (keys, counts, values, bits, start), task, done = shared.value, TaskContext.get().partitionId(), 0
@@ -387,10 +407,12 @@ def score_documents(docs: DataFrame, folds: int = 10, most_hot: int = 1 << 20, i
         def packed() -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(x) for x in zip(*own, strict=True)]
             own.clear()
-            yield deal(bucket_of(columns[0].view(np.uint64) << np.uint64(33), buckets), 1, columns)
+            first = columns[0][:1]  # the number of the first text stands for all that are gathered here
+            home = bucket_of(mixed(first.astype(np.uint64)), buckets)
+            yield deal(np.repeat(home, len(columns[0])), 1, columns)
             rid, key, times = (np.concatenate(x) for x in zip(*asked, strict=True))
             asked.clear()
-            yield deal(bucket_of(key, buckets), 2, [rid, key, times], lambda x: [*runs(x[0]), x[1], small(x[2])])
+            yield deal(bucket_of(key, buckets), 2, [(rid - first).astype(np.uint32), key, times], lambda x: [home, first, *map(small, runs(x[0])), x[1], small(x[2])])
 
         for batch, symbols, sizes in symbols_in(batches):
             n = len(sizes)
@@ -412,8 +434,8 @@ def score_documents(docs: DataFrame, folds: int = 10, most_hot: int = 1 << 20, i
                 sent_keys.append(key[away])
             whose, key = np.concatenate(sent_of), np.concatenate(sent_keys)
             sent_of = sent_keys = None
-            ordered = np.lexsort((key, whose))
-            whose, key = whose[ordered], key[ordered]
+            near = grouped(whose, n, key)
+            whose, key = whose[near], key[near]
             new = np.flatnonzero(np.append(True, (whose[1:] != whose[:-1]) | (key[1:] != key[:-1])))[: len(whose)]
             rid = (task << 40) + done + np.arange(n)
             done += n
@@ -426,39 +448,74 @@ def score_documents(docs: DataFrame, folds: int = 10, most_hot: int = 1 << 20, i
             yield from packed()
 
     def of_tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def packed() -> pa.RecordBatch:
+            key, count, value = (np.concatenate([batch.column(c).to_numpy() for batch in held]) for c in (0, 1, 2))
+            held.clear()
+            return deal(bucket_of(key.view(np.uint64), buckets), 0, [key.view(np.uint64), count, value])
+
         for batch in batches:
-            key, count, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2))
-            yield deal(bucket_of(key.view(np.uint64), buckets), 0, [key.view(np.uint64), count, value])
+            held.append(batch)
+            if sum(map(len, held)) > GATHERED:
+                yield packed()
+        if held:
+            yield packed()
 
-    def complete(_, entries: Iterator[tuple[int, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    def answer(bucket: int, entries: Iterator[tuple[int, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
         """What the rows of the tree in a bucket (kind 0) add to the texts that asked for them (kind 2), and the rows of
-        the texts themselves (kind 1)."""
+        the texts themselves (kind 1), which are at home here."""
         parts, tree_of = [], None
         for kind, arrays in entries:
             if kind == 0:
                 parts.append(arrays)
                 continue
             if kind == 1:
-                yield rows_of(*arrays)
+                yield deal(np.full(len(arrays[0]), bucket, np.int32), 1, arrays)
                 continue
             if tree_of is None:
                 key, count, value = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, t) for t in (np.uint64, np.int64, np.float64))
-                key, where = np.unique(key, return_inverse=True)
-                count, value = np.bincount(where, count, len(key)), np.bincount(where, value, len(key))
+                parts.clear()
+                order = ordered(key)
+                key = key[order]
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+                key, count, value = key[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in (count, value))
                 tree_of, base_of = Lookup(key), np.log10((count + 0.1) / weight)
-            rid, many, key, times = arrays
-            of, times = np.repeat(np.arange(len(rid)), many), times.astype(np.float64)
+            home, first, text, many, key, times = arrays
+            of, times = np.repeat(np.arange(len(text)), many), times.astype(np.float64)
             here, place = tree_of.find(key)
-            word, n = (key & np.uint64(1)) == 1, len(rid)
+            word, n = (key & np.uint64(1)) == 1, len(text)
             never = word & ~here
             found = word[here]
             sure = np.bincount(of[here][found], times[here][found], n).astype(np.int64)
             base = np.bincount(of[here][found], (times[here] * base_of[place])[found], n) + np.bincount(of[never], times[never], n) * nothing_known
             log = np.bincount(of[here], times[here] * value[place], n) + np.bincount(of[never], times[never], n) * unknown
-            yield rows_of(rid, np.zeros(n, np.int64), np.ones(n, bool), np.zeros(n, bool), np.zeros(n, np.int64), sure, base, log)
+            yield deal(np.repeat(home, n), 2, [text, sure, base, log], lambda x, first=first: [first, small(x[0]), small(x[1]), *x[2:]])
 
-    rare_blobs = rare.select("key", F.coalesce("count", F.lit(0)).alias("count"), "value").mapInArrow(of_tree, BLOBS)
-    each = by_bucket(rows.mapInArrow(tidy(score), BLOBS).union(rare_blobs), complete, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, log double")
-    # every text has one row with its own columns
-    out = each.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("log").alias("log"))
+    def add_up(_, entries: Iterator[tuple[int, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        """The texts that are at home in a bucket (kind 1), with all that was answered (kind 2)."""
+        texts: dict[int, list[np.ndarray]] = {}
+        for kind, arrays in entries:
+            if kind == 1:
+                texts[int(arrays[0][0])] = [x.copy() for x in arrays[1:]]
+                continue
+            first, text, *more = arrays
+            for column, x in zip(texts[int(first[0])][4:], more, strict=True):
+                column[text] += x  # a text comes once in an answer
+        for ids, missing, *columns in texts.values():
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=missing), *map(pa.array, columns)], names=["doc_id", "held_out", "n_tokens", "known", "base", "log"])
+
+    shares = max(1, min(SHARES, tree.tokens // PASS_TOKENS))
+    scored = []
+    with cleaning(spark), small_batches(spark):
+        tree_blobs = materialize(rare.mapInArrow(of_tree, BLOBS), "pst-tree")
+        for made in tree.files:
+            discard(made)
+        for k in range(shares):
+            some = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shares)) == k) if shares > 1 else rows
+            answers = by_bucket(some.mapInArrow(tidy(score), BLOBS).union(tree_blobs), answer, BLOBS)
+            scored.append(materialize(by_bucket(answers, add_up, "doc_id long, held_out boolean, n_tokens long, known long, base double, log double"), "pst-scored"))
+        discard(tree_blobs)
+    shared.destroy()
+    out = reduce(DataFrame.union, scored)
     return out.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(int(tree.tokens)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("log").alias("score"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from predspark.llm import exact_topk, quality_classifier, quality_rules, suffix_tree
+from predspark.llm import blobs, exact_topk, quality_classifier, quality_rules, suffix_tree
 
 
 def words(t):
@@ -211,6 +211,64 @@ def test_suffix_tree_beats_unigrams_on_held_out(docs):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+def recurring(texts, words):
+    r = np.random.default_rng(8)
+    return [(i % 97 or None, " ".join(f"w{k}" for k in r.integers(0, 150, words))) for i in range(texts)] + [(5, "w1 w2"), (5, "w1 w2"), (None, None), (7, "")]
+
+
+def test_answers_of_buckets_are_not_a_row_for_each_text(spark, monkeypatch):
+    """What buckets of n-grams give back grew with texts times buckets."""
+    rows, made = recurring(300, 60), {}
+
+    def counted(dealt, work, schema, _f=suffix_tree.by_bucket):
+        out = _f(dealt, work, schema)
+        if work.__name__ not in ("chunks", "sum_up"):
+            made[work.__name__] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_tree, "by_bucket", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        assert suffix_tree.score_documents(df, most_hot=1).count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert made and max(made.values()) <= len(rows)
+
+
+def test_passes_and_shares_change_nothing(spark, monkeypatch):
+    rows, made = recurring(200, 40), []
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def scores():
+        out = suffix_tree.score_documents(df, most_hot=1, least_context=4, least_symbol=2)
+        return sorted(([x is None, x or 0, *y] for x, *y in out.collect()), key=str)
+
+    def noted(part, name, _f=suffix_tree.materialize):
+        made.append(name)
+        return _f(part, name)
+
+    once = scores()
+    monkeypatch.setattr(suffix_tree, "materialize", noted)
+    monkeypatch.setattr(suffix_tree, "PASS_TOKENS", 100)
+    got = scores()
+    assert made.count("pst-scored") == suffix_tree.SHARES and made.count("pst-counted") > suffix_tree.PASSES
+    assert len(got) == len(once) == len(rows)
+    key = lambda x: (*x[:-2], round(x[-2], 6), round(x[-1], 6))
+    assert sorted(map(key, got)) == sorted(map(key, once))
+
+
+def test_orders_by_values():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 2, 5, 3000):
+        for most in (3, 1 << 20, (1 << 64) - 1):  # small keys have equal upper bits
+            key, group = r.integers(0, most, n, np.uint64), r.integers(0, 7, n)
+            assert (blobs.ordered(key) == np.argsort(key, kind="stable")).all()
+            order = blobs.grouped(group, 7, key)
+            assert (np.diff(group[order]) >= 0).all() and (np.sort(order) == np.arange(n)).all()
+
+
 # op4
 
 
